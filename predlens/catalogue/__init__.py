@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["batting", "games"]
+FAMILIES = ["batting", "games", "statistics", "profiles"]
 
 
 def all_queries():

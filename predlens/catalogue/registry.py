@@ -39,3 +39,8 @@ def fixed(df: DataFrame, digits: int, *names: str) -> DataFrame:
 def sql_fixed(expression: str, digits: int) -> str:
     """The same rounding as :func:`fixed` in the check SQL."""
     return f"CAST(ROUND(CAST({expression} AS DECIMAL(38,9)), {digits}) AS DOUBLE)"
+
+
+def sql_even(expression: str, digits: int) -> str:
+    """Rounding of halves to the even digit in the check SQL."""
+    return f"ROUND_EVEN(ROUND({expression}, 9), {digits})"

@@ -1,0 +1,18 @@
+"""Broadcasts behind a check of the broadcast side's size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_checked(df: DataFrame, bound: DataFrame | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is.
+
+    ``bound`` is a frame with at least as many rows that is cheaper to count, such as the
+    base table of a dimension; Spark then chooses the join by itself beyond the limit.
+    """
+    counted = df if bound is None else bound
+    return F.broadcast(df) if counted.limit(limit + 1).count() <= limit else df

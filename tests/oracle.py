@@ -66,12 +66,16 @@ def main(arguments):
 
     scale = arguments[0] if arguments else "0.01"
     folder = f"{DATA}/sf{scale}"
-    spark = build_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
+    spark = build_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     connection = duck(folder)
     queries, checks = entry_module.queries(), entry_module.oracle_sql()
     failed = 0
-    for name in arguments[1:] or queries:
+    wanted = arguments[1:] or list(queries)
+    if wanted[0].startswith("family:"):
+        ending = "." + wanted[0].partition(":")[2]
+        wanted = [name for name in queries if queries[name].__module__.endswith(ending)]
+    for name in wanted:
         start = time.time()
         try:
             if name in checks:
