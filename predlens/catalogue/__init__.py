@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["batting", "games", "statistics", "profiles"]
+FAMILIES = ["batting", "games", "statistics", "profiles", "models"]
 
 
 def all_queries():
