@@ -7,6 +7,7 @@ from predlens.catalogue.parts import PARTS_SELECT, PX_SQL, px
 from predlens.catalogue.registry import fixed, query, sql_fixed, table
 from predlens.functions import scalars as S
 from predlens.operators import ordering, plotdata, profile
+from predlens.plans.measurements import class_profile
 from predlens.session import scratch_folder
 from predlens.sources import sinks, tables
 from predlens.sources.datasets import Dataset, Registry
@@ -352,3 +353,20 @@ def q_dataset_roles(spark, folder):
         ),
     )
     return registry.get(spark).df
+
+
+def _without_last_sql(column):
+    lo, hi = f"CAST(MIN({column}) AS DOUBLE)", f"CAST(MAX({column}) AS DOUBLE)"
+    edges = ", ".join(f"{sql_fixed(f'{lo} + {i} * ({hi} - {lo}) / 4', 6)} AS edge{i}" for i in range(5))
+    values = f"""'{column}' AS "column", {sql_fixed(f'AVG({column})', 6)} AS mean, {lo} AS min, {hi} AS max, {edges}"""
+    return f"""SELECT 'overall' AS scope, NULL AS "group", {values} FROM part
+        WHERE p_partkey < (SELECT MAX(p_partkey) FROM part)
+    UNION ALL SELECT 'group', p_brand, {values} FROM part
+        WHERE (p_brand, p_partkey) NOT IN (SELECT (p_brand, MAX(p_partkey)) FROM part GROUP BY p_brand)
+        GROUP BY p_brand"""
+
+
+@query("describe_without_last", " UNION ALL ".join(_without_last_sql(c) for c in PROFILED))
+def q_describe_without_last(spark, folder):
+    rows = class_profile(table(spark, folder, "part"), PROFILED, "p_brand", without_last="p_partkey")
+    return fixed(rows, 6, "mean", *_EDGES)

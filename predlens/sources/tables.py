@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed value: the MySQL/MariaDB driver option that reads zero dates as NULL.
@@ -16,10 +17,24 @@ def parquet_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def named_csv(spark: SparkSession, path: str, columns: Mapping[str, T.DataType]) -> DataFrame:
-    """A CSV file without header, its columns named and typed here; blank lines are skipped."""
+def named_csv(
+    spark: SparkSession, path: str, columns: Mapping[str, T.DataType], line: str | None = None
+) -> DataFrame:
+    """A CSV file without header, its columns named and typed here; blank lines are skipped.
+
+    ``line`` names an extra column that grows with the rows' place in the files: file,
+    start of the block, then the row's number within the block.
+    """
     schema = T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
-    return spark.read.schema(schema).option("header", False).option("mode", "FAILFAST").csv(path)
+    rows = spark.read.schema(schema).option("header", False).option("mode", "FAILFAST").csv(path)
+    if line is None:
+        return rows
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return rows.select("*", place.alias(line))
 
 
 @dataclass(frozen=True)
