@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from predlens.functions.scalars import safe_ratio
 from predlens.operators.sets import many_groupings
 
-# Pairs per aggregation: each pair keeps six running numbers.
+# Pairs per aggregation: each pair keeps about ten running numbers.
 PAIRS_PER_PASS = 48
 
 
@@ -22,8 +22,14 @@ def column_pairs(left: Sequence[str], right: Sequence[str] | None = None) -> lis
 
 
 def pearson(left: Column, right: Column) -> Column:
-    """Aggregate correlation over the rows where both are known; NULL for a constant column."""
-    return F.nanvl(F.corr(left.cast("double"), right.cast("double")), F.lit(None).cast("double"))
+    """Aggregate correlation over the rows where both are known; NULL for a constant column.
+
+    Built from sums of squares: ``corr`` itself divides by zero on a constant column, which
+    is an error in ANSI mode.
+    """
+    x, y = left.cast("double"), right.cast("double")
+    r = safe_ratio(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))
+    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
 
 
 def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
