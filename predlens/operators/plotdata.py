@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from predlens.functions.bins import Edges, bin_center, closed_bin, edge_columns, half_open_bin
 from predlens.operators.ordering import ROWS_PER_PIECE, with_piece
+from predlens.operators.sizes import settled
 
 BINS = 10
 
@@ -71,14 +72,13 @@ def order_statistics(
     """Exact values at given positions of each class's sorted values.
 
     ``positions`` are 0-based and may be fractional (the value is then interpolated); they
-    are expressions of the class size ``n``. A class is never sorted as a whole: equal
-    values are counted first, the values are cut into pieces at common split points, and
-    only the pieces that hold a wanted position are ranked.
+    are expressions of the class size ``n``. A class is never sorted as a whole, nor are all
+    rows shuffled: the values are cut into pieces at common split points, the pieces are
+    counted, and only the pieces that hold a wanted position are ranked, equal values as one.
     """
     known = df.select(F.col(by), F.col(value).cast("double").alias("_v")).dropna()
-    values = known.groupBy(by, "_v").agg(F.count("*").alias("_c"))
-    placed = with_piece(values, "_v", "_cut", rows_per_piece=rows_per_piece)
-    sizes = placed.groupBy(by, "_cut").agg(F.sum("_c").alias("_size"))
+    placed = with_piece(known, "_v", "_cut", rows_per_piece=rows_per_piece)
+    sizes = placed.groupBy(by, "_cut").agg(F.count("*").alias("_size"))
     up_to = Window.partitionBy(by).orderBy("_cut").rowsBetween(Window.unboundedPreceding, 0)
     starts = sizes.withColumn("_start", F.sum("_size").over(up_to) - F.col("_size"))
     totals = sizes.groupBy(by).agg(F.sum("_size").alias("n"))
@@ -87,11 +87,15 @@ def order_statistics(
     both = F.array_distinct(F.array(F.floor("_p"), F.ceil("_p")))
     ranks = wanted.select(by, "_name", "_p", F.explode(both).alias("_rank"))
     inside = (F.col("_start") <= F.col("_rank")) & (F.col("_rank") < F.col("_start") + F.col("_size"))
-    searched = ranks.join(starts, by).filter(inside).select(by, "_cut", "_start", "_name", "_p", "_rank")
+    # A few rows per class: the places to look up.
+    searched = settled(
+        ranks.join(starts, by).filter(inside).select(by, "_cut", "_start", "_name", "_p", "_rank")
+    )
 
     running = Window.partitionBy(by, "_cut").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     pieces = placed.join(searched.select(by, "_cut").distinct(), [by, "_cut"], "left_semi")
-    counted = pieces.withColumn("_to", F.sum("_c").over(running))
+    values = pieces.groupBy(by, "_cut", "_v").agg(F.count("*").alias("_c"))
+    counted = values.withColumn("_to", F.sum("_c").over(running))
     end = F.col("_start") + F.col("_to")
     found = counted.join(searched, [by, "_cut"]).filter(
         (F.col("_rank") < end) & (F.col("_rank") >= end - F.col("_c"))

@@ -16,3 +16,13 @@ def broadcast_checked(df: DataFrame, bound: DataFrame | None = None, limit: int
     """
     counted = df if bound is None else bound
     return F.broadcast(df) if counted.limit(limit + 1).count() <= limit else df
+
+
+def settled(df: DataFrame, limit: int = 20_000) -> DataFrame:
+    """Run a frame that is expected to be small now, and hand its rows out for broadcast.
+
+    Its computation then happens once instead of once per use. A frame of more than
+    ``limit`` rows is given back as it is.
+    """
+    rows = df.limit(limit + 1).collect()
+    return df if len(rows) > limit else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -1,0 +1,197 @@
+"""Own classifiers against brute force, and the suite as a whole."""
+
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from predlens.models.boosting import AdaBoost
+from predlens.models.fourier import FourierFeatures
+from predlens.models.neighbours import NearestNeighbours, majority, nearest
+from predlens.models.quadratic import QuadraticDiscriminant
+from predlens.models.suite import classifier_suite, compare, forest_importance
+from predlens.operators.scaling import split, standardize
+
+
+def blobs(seed, rows, classes=2, crowded=False):
+    chance = np.random.default_rng(seed)
+    label = chance.integers(0, classes, rows)
+    points = chance.normal(size=(rows, 3)) + label[:, None] * np.array([1.5, -1.0, 0.5])
+    if crowded:
+        points[: rows // 3] = points[0]  # a third of the rows are the same point
+    return points, label
+
+
+def frame(spark, points, label, start=0):
+    rows = [(start + i, *map(float, p), int(c)) for i, (p, c) in enumerate(zip(points, label))]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double, c double, label int")
+    return VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+
+
+@pytest.mark.parametrize("k", [1, 3])
+@pytest.mark.parametrize("pivots,train_block,query_block", [(1, 10**6, 10**6), (7, 10, 5), (20, 50, 10**6)])
+@pytest.mark.parametrize("crowded", [False, True])
+def test_nearest_is_exact(spark, k, pivots, train_block, query_block, crowded):
+    points, label = blobs(1, 120, crowded=crowded)
+    asked, _ = blobs(2, 40)
+    asked[:5] = points[0]
+    train = frame(spark, points, label).withColumn("f", vector_to_array("features"))
+    queries = frame(spark, asked, [0] * 40, start=1000).withColumn("f", vector_to_array("features"))
+    found = nearest(
+        train, queries, key="id", features="f", label="label", k=k, pivots=pivots,
+        train_block=train_block, query_block=query_block,
+    )
+    ours = {(r["id"], r["place"]): r["neighbour"] for r in found.collect()}
+    off = np.linalg.norm(asked[:, None] - points[None], axis=2)
+    for i in range(len(asked)):
+        order = sorted(range(len(points)), key=lambda j: (off[i, j], j))[:k]
+        assert [ours[1000 + i, place + 1] for place in range(k)] == order
+
+
+def test_fewer_rows_than_neighbours(spark):
+    points, label = blobs(1, 2)
+    df = frame(spark, points, label).withColumn("f", vector_to_array("features"))
+    assert nearest(df, df, key="id", features="f", label="label", k=3).count() == 4
+    with pytest.raises(ValueError):
+        nearest(df.limit(0), df, key="id", features="f", label="label", k=3)
+
+
+def test_vote_ties_take_the_smallest_label(spark):
+    votes = spark.createDataFrame([(1, 5), (1, 3), (1, 4), (2, 7), (2, 7), (2, 1)], "q int, label int")
+    assert dict(map(tuple, majority(votes, "q").collect())) == {1: 3, 2: 7}
+
+
+def test_neighbours_stage(spark):
+    points, label = blobs(3, 80)
+    df = frame(spark, points, label)
+    out = NearestNeighbours(k=1, keyCol="id").fit(df).transform(df).collect()
+    assert all(r["prediction"] == r["label"] for r in out) and len(out) == 80
+
+
+def quadratic(points, label, asked):
+    """Predictions from the textbook formula."""
+    scores = []
+    for c in sorted(set(label)):
+        mine = points[label == c]
+        covariance = np.cov(mine.T)
+        off = asked - mine.mean(axis=0)
+        distance = np.einsum("ij,jk,ik->i", off, np.linalg.inv(covariance), off)
+        share = math.log(len(mine) / len(points))
+        scores.append(share - 0.5 * np.linalg.slogdet(covariance)[1] - 0.5 * distance)
+    return np.argmax(scores, axis=0).tolist()
+
+
+def predictions(model, df):
+    return [r["prediction"] for r in model.transform(df).orderBy("id").collect()]
+
+
+def test_quadratic_discriminant(spark):
+    points, label = blobs(5, 150, classes=3)
+    asked, _ = blobs(6, 50, classes=3)
+    model = QuadraticDiscriminant().fit(frame(spark, points, label))
+    assert predictions(model, frame(spark, asked, [0] * 50)) == quadratic(points, label, asked)
+
+
+def test_quadratic_discriminant_ignores_a_dependent_column(spark):
+    points, label = blobs(5, 90)
+    points[:, 2] = points[:, 0] - points[:, 1]
+    df = frame(spark, points, label)
+    model = QuadraticDiscriminant().fit(df)
+    assert predictions(model, df) == quadratic(points[:, :2], label, points[:, :2])
+
+
+def boosted(points, label, classes, rounds):
+    """SAMME with stumps over all cuts between distinct values."""
+    weight, stumps = np.ones(len(label)), []
+    for _ in range(rounds):
+        best = None
+        for f in range(points.shape[1]):
+            for cut in sorted(set(points[:, f]))[1:]:
+                side = points[:, f] < cut
+                sums = [np.bincount(label[s], weight[s], classes) for s in (side, ~side)]
+                impurity = sum(s.sum() - (s**2).sum() / s.sum() for s in sums)
+                if best is None or impurity < best[0] - 1e-9:
+                    best = (impurity, f, cut, sums[0].argmax(), sums[1].argmax())
+        _, f, cut, below, above = best
+        guess = np.where(points[:, f] < cut, below, above)
+        error = weight[guess != label].sum() / weight.sum()
+        if error >= 1 - 1 / classes:
+            break
+        vote = math.log((1 - error) / error) + math.log(classes - 1)
+        weight = np.where(guess != label, weight * math.exp(vote), weight)
+        stumps.append((f, cut, below, above, vote))
+    return stumps
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_boosting(spark, classes):
+    points, label = blobs(8, 120, classes=classes)
+    points = np.round(points)  # few distinct values: every cut has a bin
+    df = frame(spark, points, label)
+    model = AdaBoost(rounds=6, maxBins=200).fit(df)
+    expected = boosted(points, label, classes, 6)
+    assert [(s.feature, s.cut, s.below, s.above) for s in model.stumps] == [tuple(e[:4]) for e in expected]
+    assert np.allclose([s.vote for s in model.stumps], [e[4] for e in expected])
+    votes = np.zeros((120, classes))
+    for f, cut, below, above, vote in expected:
+        votes[np.arange(120), np.where(points[:, f] < cut, below, above)] += vote
+    ours = [r["prediction"] for r in model.transform(df).orderBy("id").collect()]
+    assert ours == votes.argmax(axis=1).tolist()
+
+
+def test_boosting_of_separable_classes(spark):
+    df = frame(spark, np.array([[i, 0, 0] for i in range(20)]), [int(i > 7) for i in range(20)])
+    model = AdaBoost(rounds=5).fit(df)
+    assert len(model.stumps) == 1
+    assert all(r["prediction"] == r["label"] for r in model.transform(df).collect())
+
+
+def test_fourier_features_approximate_the_kernel(spark, tmp_path):
+    points, label = blobs(9, 20)
+    stage = FourierFeatures(gamma=0.3, size=4000, width=3, seed=1)
+    stage.write().overwrite().save(str(tmp_path / "fourier"))
+    out = FourierFeatures.load(str(tmp_path / "fourier")).transform(frame(spark, points, label))
+    z = np.array([r["fourier"].toArray() for r in out.orderBy("id").collect()])
+    kernel = np.exp(-0.3 * np.square(points[:, None] - points[None]).sum(axis=2))
+    assert np.abs(z @ z.T - kernel).max() < 0.1
+
+
+def test_three_classes_in_the_suite(spark):
+    points, label = blobs(10, 200, classes=3)
+    df = frame(spark, points, label).drop("features")
+    train, test = split(df, "id")
+    models = ["linear_svm", "nearest_neighbours", "decision_tree", "naive_bayes", "quadratic_discriminant"]
+    scores = compare(train, test, {"all": ["a", "b", "c"]}, label="label", key="id", models=models).collect()
+    assert {r["model"] for r in scores} == set(models)
+    assert all(r["accuracy"] > 0.5 for r in scores)
+    assert len(classifier_suite(3, 2, 10, "id")) == 10
+
+
+def test_standardize(spark):
+    df = spark.createDataFrame([(float(i), 5.0) for i in range(6)], "x double, same double")
+    for population, ddof in ((True, 0), (False, 1)):
+        out = standardize(df, ["x", "same"], population=population).orderBy("x").collect()
+        expected = (np.arange(6) - 2.5) / np.std(np.arange(6), ddof=ddof)
+        assert np.allclose([r["x"] for r in out], expected) and all(r["same"] == 0 for r in out)
+
+
+def test_split_depends_on_keys_alone(spark):
+    df = spark.range(3000)
+    train, test = split(df, "id")
+    assert 0.28 < test.count() / 3000 < 0.38 and train.count() + test.count() == 3000
+    assert Counter(r["id"] for r in split(df.repartition(5), "id")[1].collect()) == Counter(
+        r["id"] for r in test.collect()
+    )
+
+
+def test_importance_finds_the_signal(spark):
+    points, label = blobs(11, 200)
+    points[:, 1] = np.random.default_rng(0).normal(size=200)
+    df = frame(spark, points, label).drop("features")
+    for classify in (True, False):
+        importance = forest_importance(df, ["a", "b"], "label", classify=classify)
+        assert importance["a"] > importance["b"] and math.isclose(sum(importance.values()), 1)

@@ -1,0 +1,117 @@
+"""Positions, pieces, quantiles and samples without a global sort."""
+
+import datetime as dt
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from predlens.operators import ordering as O
+from predlens.operators import plotdata as P
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    chance = random.Random(2)
+    data = [(i, chance.choice(["a", "a", "a", "b", "c"]), round(chance.expovariate(1), 1)) for i in range(1500)]
+    data += [(i, "a", 0.5) for i in range(1500, 2500)]  # one value holds a large share
+    chance.shuffle(data)
+    return spark.createDataFrame(data, "id bigint, c string, v double").repartition(7).cache()
+
+
+@pytest.mark.parametrize("per_piece", [100, 10**6])
+@pytest.mark.parametrize("order", [["id"], ["v", "id"], ["c", "id"]])
+def test_positions(rows, per_piece, order):
+    out = O.with_position(rows, order, "n", start=0, rows_per_piece=per_piece)
+    expected = sorted(rows.collect(), key=lambda r: tuple(r[c] for c in order))
+    assert [r["n"] for r in sorted(out.collect(), key=lambda r: tuple(r[c] for c in order))] == list(range(2500))
+    assert {r["id"]: r["n"] for r in out.collect()} == {r["id"]: i for i, r in enumerate(expected)}
+
+
+def test_pieces_are_ordered_and_bounded(rows):
+    placed = O.with_piece(rows, "id", "p", rows_per_piece=100)
+    spans = placed.groupBy("p").agg(F.min("id"), F.max("id"), F.count("*")).orderBy("p").collect()
+    assert len(spans) == 25 and all(a[2] < b[1] for a, b in zip(spans, spans[1:]))
+    assert max(s[3] for s in spans) <= 200
+
+
+def test_order_numbers_keep_the_order(spark):
+    days = [(dt.date(2020, 1, d), dt.datetime(2020, 1, d, 3), f"k{d:02d}", d) for d in range(1, 9)]
+    df = spark.createDataFrame(days, "d date, t timestamp, s string, n int")
+    for name in df.columns:
+        numbers = [r[0] for r in df.orderBy("n").select(O.order_number(df, name)).collect()]
+        assert numbers == sorted(numbers) and len(set(numbers)) == 8
+    with pytest.raises(ValueError):
+        O.order_number(df.withColumn("l", F.array("n")), "l")
+
+
+def test_nulls_come_first(spark):
+    df = spark.createDataFrame([(None,), (3,), (1,)], "x int")
+    assert {r["x"]: r["n"] for r in O.with_position(df, ["x"], "n", rows_per_piece=1).collect()} == {None: 1, 1: 2, 3: 3}
+
+
+def test_drop_last(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, None)], "i int, c string")
+    assert sorted(r["i"] for r in O.drop_last(df, "i").collect()) == [1, 2, 3, 4]
+    assert sorted(r["i"] for r in O.drop_last(df, "i", by=["c"]).collect()) == [1, 4]
+
+
+def test_codes_and_ranked(spark):
+    df = spark.createDataFrame([("b", 1.0), ("a", None), ("b", 2.0), (None, 3.0)], "c string, s double")
+    assert {r["c"]: r["code"] for r in O.dense_codes(df, "c").collect()} == {"a": 0, "b": 1}
+    assert [r["s"] for r in O.ranked(df, "s", "c").collect()] == [3.0, 2.0, 1.0, None]
+    assert [r["s"] for r in O.top_rows(df, 2, F.col("s").desc()).collect()] == [3.0, 2.0]
+
+
+# --- quantiles ---
+
+
+def exclusive(values):
+    values, half = sorted(values), len(values) // 2
+    return [np.median(values[:half]), np.median(values), np.median(values[len(values) - half :])]
+
+
+@pytest.mark.parametrize("per_piece", [10, 10**6])
+def test_boxes(rows, per_piece):
+    by_class = {}
+    for r in rows.collect():
+        by_class.setdefault(r["c"], []).append(r["v"])
+    boxes = {r["c"]: r for r in P.box_by(rows, "v", "c", rows_per_piece=per_piece).collect()}
+    halves = {r["c"]: r for r in P.box_exclusive(rows, "v", "c", rows_per_piece=per_piece).collect()}
+    assert set(boxes) == set(halves) == set(by_class)
+    for c, values in by_class.items():
+        five = [boxes[c][n] for n in ("low", "q1", "median", "q3", "high")]
+        assert np.allclose(five, np.percentile(values, [0, 25, 50, 75, 100]))
+        assert np.isclose(boxes[c]["mean"], np.mean(values)) and boxes[c]["rows"] == len(values)
+        assert np.allclose([halves[c][n] for n in ("q1", "median", "q3")], exclusive(values))
+
+
+def test_tiny_classes(spark):
+    df = spark.createDataFrame([("one", 4.0), ("two", 1.0), ("two", 3.0), ("none", None), (None, 1.0)], "c string, v double")
+    halves = {r["c"]: (r["q1"], r["median"], r["q3"]) for r in P.box_exclusive(df, "v", "c").collect()}
+    assert halves == {"one": (None, 4.0, None), "two": (1.0, 2.0, 3.0)}
+
+
+def test_histogram_density(rows):
+    cells = P.histogram_by(rows, "v", "c").collect()
+    lo, hi, _ = P.range_of(rows, "v")
+    for c in "abc":
+        mine = [r for r in cells if r["c"] == c]
+        assert np.isclose(sum(r["density"] for r in mine) * (hi - lo) / 10, 1)
+        assert sum(r["rows"] for r in mine) == rows.filter(F.col("c") == c).count()
+
+
+def test_sample_is_repeatable(rows):
+    first = sorted(map(tuple, P.point_sample(rows, "c", "id", 20).collect()))
+    again = sorted(map(tuple, P.point_sample(rows.repartition(3), "c", "id", 20).collect()))
+    assert first == again and len(first) == 60
+
+
+def test_trend_lines(spark):
+    df = spark.createDataFrame([(float(x), 3.0 * x + 1) for x in range(1, 20)], "x double, y double")
+    line = P.trend_line(df, "x", "y").first()
+    assert np.allclose([line["slope"], line["intercept"], line["points"]], [3, 1, 19])
+    curved = df.withColumn("y", 2 * F.ln("x") + 5).unionByName(spark.createDataFrame([(-1.0, 9.0)], df.schema))
+    line = P.trend_line(curved, "x", "y", log_x=True).first()
+    assert np.allclose([line["slope"], line["intercept"], line["points"]], [2, 5, 19])
