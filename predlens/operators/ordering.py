@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from predlens.operators.sizes import settled
+
 ROWS_PER_PIECE = 2_000_000
 MAX_PIECES = 4096  # bounds the split points held as a literal
 
@@ -65,7 +67,11 @@ def with_position(
     df: DataFrame, order: Sequence[str], out: str, *, start: int = 1, rows_per_piece: int = ROWS_PER_PIECE
 ) -> DataFrame:
     """Number the rows in a stated order, without gaps."""
-    placed = with_piece(df, order[0], "_cut", rows_per_piece=rows_per_piece)
+    rows = df.count()
+    if rows <= rows_per_piece:
+        position = F.row_number().over(Window.orderBy(*order)) + F.lit(start - 1)
+        return df.select("*", position.cast("bigint").alias(out))
+    placed = with_piece(df, order[0], "_cut", rows=rows, rows_per_piece=rows_per_piece)
     sizes = placed.groupBy("_cut").agg(F.count("*").alias("_size"))
     # At most MAX_PIECES rows: one task is enough here.
     before = Window.orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
@@ -85,12 +91,13 @@ def dense_codes(df: DataFrame, column: str, out: str = "code") -> DataFrame:
 def drop_last(df: DataFrame, order: str, by: Sequence[str] = ()) -> DataFrame:
     """Leave out the last row (of each group) in the order of a unique column.
 
-    Takes one maximum per group instead of ranking the groups' rows.
+    Takes one maximum per group instead of ranking the groups' rows; the maxima are found
+    first, so that the rows need not be shuffled to meet them.
     """
     if not by:
         last = df.agg(F.max(order).alias("_last")).select("_last").scalar()
         return df.filter(F.col(order) < last)
-    last = df.groupBy(*by).agg(F.max(order).alias("_last"))
+    last = settled(df.groupBy(*by).agg(F.max(order).alias("_last")))
     condition = [df[name].eqNullSafe(last[name]) for name in by] + [df[order] == last["_last"]]
     return df.join(last, condition, "left_anti")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from predlens.functions.bins import edge_columns
+from predlens.functions.scalars import exceeds, ratio_of_sums, safe_ratio
 
 EDGE_BINS = 4
 
@@ -48,13 +49,23 @@ def describe(df: DataFrame, columns: Sequence[str], by: str | None = None) -> Da
 
 
 def group_statistics(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Mean and count per group beside the population's mean, range and row count."""
-    population = df.agg(
-        F.avg(value).alias("population_mean"), F.min(value).alias("population_min"),
-        F.max(value).alias("population_max"), F.count("*").alias("population_rows"),
+    """Mean and count per group beside the population's mean, range and row count.
+
+    The population is totalled from the groups, so the rows are read once.
+    """
+    groups = df.groupBy(by).agg(
+        F.sum(value).alias("_sum"), F.count(value).alias("answers"), F.min(value).alias("_min"),
+        F.max(value).alias("_max"), F.count("*").alias("_rows"),
     )
-    groups = df.groupBy(by).agg(F.avg(value).alias("mean"), F.count(value).alias("answers"))
-    return groups.select("*", *[population.select(name).scalar().alias(name) for name in population.columns])
+    population = groups.agg(
+        ratio_of_sums(F.col("_sum"), F.col("answers")).alias("population_mean"),
+        F.min("_min").alias("population_min"),
+        F.max("_max").alias("population_max"),
+        F.sum("_rows").alias("population_rows"),
+    )
+    whole = population.select(F.struct("*").alias("p")).scalar()
+    mean = safe_ratio(F.col("_sum"), F.col("answers")).alias("mean")
+    return groups.select(by, mean, "answers", whole.alias("_p")).select(by, "mean", "answers", "_p.*")
 
 
 def crosstab(df: DataFrame, rows: str, columns: str, value: str | None = None) -> DataFrame:
@@ -84,8 +95,6 @@ def crosstab_shape(df: DataFrame, rows: str, columns: str) -> DataFrame:
 
 def confusion_flags(df: DataFrame, left: str, right: str, left_limit: float, right_limit: float) -> DataFrame:
     """Crosstab of two threshold flags, ``abs(value) > limit``."""
-    from predlens.functions.scalars import exceeds
-
     flags = df.select(
         exceeds(F.col(left), left_limit).alias("left_flag"), exceeds(F.col(right), right_limit).alias("right_flag")
     )
