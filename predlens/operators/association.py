@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations, product
 
@@ -13,47 +14,66 @@ from predlens.functions.scalars import safe_ratio
 from predlens.operators.sets import many_groupings
 from predlens.operators.sizes import settled
 
-# Pairs per aggregation: each pair keeps about ten running numbers.
-PAIRS_PER_PASS = 48
-
-
 def column_pairs(left: Sequence[str], right: Sequence[str] | None = None) -> list[tuple[str, str]]:
     """All pairs within one list, or across two."""
     return list(combinations(left, 2)) if right is None else list(product(left, right))
 
 
-def pearson(left: Column, right: Column) -> Column:
-    """Aggregate correlation over the rows where both are known; NULL for a constant column.
+def pair_moments(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Number of rows with both values known and Pearson's r: ``(p1, p2, n, r)``.
 
-    Built from sums of squares: ``corr`` itself divides by zero on a constant column, which
-    is an error in ANSI mode.
+    Two passes for any number of pairs and no shuffle but of one row: means and NULL counts
+    first, then sums of products of the centred columns. A pair without NULLs shares its
+    columns' sums of squares and adds one sum of its own. The result, a row per pair, is
+    kept on the driver. NULL for a constant column.
     """
-    x, y = left.cast("double"), right.cast("double")
-    r = safe_ratio(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))
-    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
+    names = sorted({name for pair in pairs for name in pair})
+    place = {name: i for i, name in enumerate(names)}
+    values = df.select(*[F.col(f"`{name}`").cast("double").alias(f"x{i}") for i, name in enumerate(names)])
+    seen = values.agg(
+        *[F.expr(text) for i in place.values() for text in (f"avg(x{i}) AS m{i}", f"count(x{i}) AS n{i}")],
+        F.expr("count(*) AS n"),
+    ).first()
+    centred = values.selectExpr(*[f"x{i} - {seen[f'm{i}'] or 0.0!r}D AS x{i}" for i in place.values()])
+    whole = {i for i in place.values() if seen[f"n{i}"] == seen["n"]}
+    sums = {f"s{i}": f"x{i}" for i in whole} | {f"q{i}": f"x{i} * x{i}" for i in whole}
+    for a, b in pairs:
+        i, j = place[a], place[b]
+        sums[f"p{i}_{j}"] = f"x{i} * x{j}"
+        if not {i, j} <= whole:
+            both = f"x{i} IS NOT NULL AND x{j} IS NOT NULL"
+            sums |= {f"n{i}_{j}": f"IF({both}, 1D, NULL)"}
+            for k, end in ((i, "l"), (j, "r")):
+                sums |= {f"s{i}_{j}{end}": f"IF({both}, x{k}, NULL)", f"q{i}_{j}{end}": f"IF({both}, x{k} * x{k}, NULL)"}
+    total = centred.agg(*[F.expr(f"sum({text}) AS {name}") for name, text in sums.items()]).first()
+
+    rows = []
+    for a, b in pairs:
+        i, j = place[a], place[b]
+        if {i, j} <= whole:
+            n, ends = seen["n"], ((f"s{i}", f"q{i}"), (f"s{j}", f"q{j}"))
+        else:
+            n = int(total[f"n{i}_{j}"] or 0)
+            ends = ((f"s{i}_{j}l", f"q{i}_{j}l"), (f"s{i}_{j}r", f"q{i}_{j}r"))
+        rows.append((a, b, n, _correlation(n, *[(total[s], total[q]) for s, q in ends], total[f"p{i}_{j}"])))
+    return df.sparkSession.createDataFrame(rows, "p1 string, p2 string, n bigint, r double")
+
+
+def _correlation(n: int, left: tuple, right: tuple, product: float | None) -> float | None:
+    """r from sums, sums of squares and the sum of products of nearly centred values."""
+    if n < 2:
+        return None
+    (sx, qx), (sy, qy) = left, right
+    xx, yy, xy = qx - sx * sx / n, qy - sy * sy / n, product - sx * sy / n
+    # Equal values leave nothing but rounding.
+    if xx <= 1e-13 * qx or yy <= 1e-13 * qy:
+        return None
+    return max(-1.0, min(1.0, xy / math.sqrt(xx * yy)))
 
 
 def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson's r of every pair of columns, ``(p1, p2, r)``."""
-    return pair_aggregates(df, column_pairs(columns), lambda x, y: {"r": pearson(x, y)})
-
-
-def pair_aggregates(df: DataFrame, pairs: Sequence[tuple[str, str]], measures) -> DataFrame:
-    """Aggregates of each pair of columns, as rows: no shuffle but the final one-row merge."""
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chosen = pairs[start : start + PAIRS_PER_PASS]
-        named = [measures(F.col(f"`{a}`"), F.col(f"`{b}`")) for a, b in chosen]
-        wide = df.agg(*[c.alias(f"{name}_{i}") for i, m in enumerate(named) for name, c in m.items()])
-        rows = [
-            F.struct(F.lit(a).alias("p1"), F.lit(b).alias("p2"), *[F.col(f"{name}_{i}").alias(name) for name in m])
-            for i, ((a, b), m) in enumerate(zip(chosen, named))
-        ]
-        parts.append(wide.select(F.inline(F.array(*rows))))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return pair_moments(df, column_pairs(columns)).select("p1", "p2", "r")
 
 
 def symmetric(pairs: DataFrame, columns: Sequence[str], value: str) -> DataFrame:
