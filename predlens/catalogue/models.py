@@ -3,14 +3,14 @@
 from functools import reduce
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import StringIndexer
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from predlens.catalogue.parts import px
+from predlens.catalogue.parts import PX_SQL, px
 from predlens.catalogue.registry import fixed, query, sql_fixed, table
 from predlens.models.neighbours import majority, nearest
-from predlens.models.quadratic import class_moments
+from predlens.models.quadratic import QuadraticDiscriminant, class_moments
 from predlens.models.suite import compare, forest_importance
 from predlens.operators.scaling import in_test, split, standardize
 from predlens.plans.report import predictor_report
@@ -79,6 +79,27 @@ def q_qda_params(spark, folder):
     return fixed(fixed(moments, 6, "mean_0", "mean_1"), 4, "cov_0_0", "cov_0_1", "cov_1_1")
 
 
+_QDA_MEASURES = ["p_size", "z"]
+
+
+@query("qda_predict", f"""{PX_SQL}, rows AS (
+    SELECT p_partkey, y, CAST(p_size AS DOUBLE) AS a, z AS b, {_TEST.format('p_partkey')} AS test FROM px),
+classes AS (
+    SELECT y AS c, COUNT(*) / SUM(COUNT(*)) OVER () AS share, AVG(a) AS ma, AVG(b) AS mb,
+           COVAR_SAMP(a, a) AS aa, COVAR_SAMP(a, b) AS ab, COVAR_SAMP(b, b) AS bb
+    FROM rows WHERE NOT test GROUP BY y),
+scores AS (
+    SELECT p_partkey, y, c, LN(share) - 0.5 * LN(aa * bb - ab * ab) - 0.5 * (
+        (a - ma) ** 2 * bb - 2 * (a - ma) * (b - mb) * ab + (b - mb) ** 2 * aa) / (aa * bb - ab * ab) AS score
+    FROM rows, classes WHERE test)
+SELECT p_partkey, y, ARG_MAX(c, score) AS prediction FROM scores GROUP BY ALL""")
+def q_qda_predict(spark, folder):
+    train, test = split(px(spark, folder), "p_partkey")
+    gather = VectorAssembler(inputCols=_QDA_MEASURES, outputCol="features")
+    model = Pipeline(stages=[gather, QuadraticDiscriminant(labelCol="y")]).fit(train)
+    return model.transform(test).select("p_partkey", "y", "prediction")
+
+
 FEATURES = {"all": ["p_size", "p_retailprice", "z", "q4", "g9"], "top": ["p_size", "z"]}
 
 

@@ -11,6 +11,7 @@ from predlens.operators.effects import Effects
 from predlens.operators.kinds import kinds_frame, predictor_kinds, response_kind
 from predlens.operators.ordering import ranked
 from predlens.operators.regression import logistic_tests, ols_slopes, ols_tests
+from predlens.plans.report import predictor_report
 
 # --- kinds ---
 
@@ -403,3 +404,38 @@ def q_pairs_by_strength(spark, folder):
     )
     placed = with_position(strong.withColumn("_weak", -F.col("strength")), ["_weak", "p1", "p2"], "place")
     return ranked(placed.drop("_weak"), "strength", "p1", "p2")
+
+
+# --- the ranking table without the forest's part ---
+
+RANKED_CONT, RANKED_CAT = ["p_size", "p_retailprice", "z"], ["hl", "q4", "p_brand"]
+
+
+@query(
+    "rank_table",
+    PX_SQL + "".join(", " + _newton_sql(p) for p in RANKED_CONT) + " SELECT * FROM ("
+    + " UNION ALL ".join(
+        f"""SELECT predictor, 'continuous' AS kind, msd, wmsd, {sql_fixed('z', 6)} AS t_value
+            FROM ({_cont_sql(p)}), {p}_{_STEPS}""" for p in RANKED_CONT
+    )
+    + " UNION ALL "
+    + " UNION ALL ".join(
+        f"SELECT predictor, 'categorical' AS kind, msd, wmsd, NULL AS t_value FROM ({_cat_sql(c)})"
+        for c in RANKED_CAT
+    )
+    + ")",
+)
+def q_rank_table(spark, folder):
+    report = predictor_report(px(spark, folder), [*RANKED_CONT, *RANKED_CAT], "y")
+    ranking = report.sections["ranking"].select("predictor", "kind", "msd", "wmsd", "t_value")
+    return fixed(ranking, 7, "msd", "wmsd")
+
+
+@query(
+    "eta_matrix",
+    PX_SQL + f", eta AS ({' UNION ALL '.join(_eta_sql(c, v) for c in ETA_CATEGORIES for v in ETA_VALUES)}) SELECT p1, "
+    + ", ".join(f"MAX(eta) FILTER (p2 = '{c}') AS {c}" for c in ETA_CATEGORIES) + " FROM eta GROUP BY p1",
+)
+def q_eta_matrix(spark, folder):
+    ratios = fixed(A.correlation_ratio(px(spark, folder), ETA_CATEGORIES, ETA_VALUES), 7, "eta")
+    return A.matrix(ratios, ETA_CATEGORIES, "eta")

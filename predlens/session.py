@@ -26,22 +26,15 @@ def build_session(app: str = "predlens", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a checkpoint in the cluster's shared folder.
+def durable(df: DataFrame, name: str = "rows") -> DataFrame:
+    """Cut the lineage of ``df``: write it to the shared folder and read it back.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local master may fall
-    back to a temporary folder: on a cluster other machines could not read it.
+    Parquet rather than a checkpoint, so that readers of few columns still read few. What
+    is lost with an executor is read again, not computed again.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors can read")
-            folder = tempfile.mkdtemp(prefix="predlens-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
