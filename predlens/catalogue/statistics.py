@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from predlens.catalogue.parts import PX_SQL, px
 from predlens.catalogue.registry import fixed, query, sql_even, sql_fixed, table
+from predlens.functions.scalars import pair_label
 from predlens.operators import association as A
 from predlens.operators.effects import Effects
 from predlens.operators.kinds import kinds_frame, predictor_kinds, response_kind
-from predlens.operators.ordering import ranked
+from predlens.operators.ordering import ranked, with_position
 from predlens.operators.regression import logistic_tests, ols_slopes, ols_tests
 from predlens.plans.report import predictor_report
 
@@ -395,9 +396,6 @@ SELECT p1, p2, concat(p1, ' and ', p2) AS predictors, r, ABS(r) AS strength,
 FROM pairs""",
 )
 def q_pairs_by_strength(spark, folder):
-    from predlens.functions.scalars import pair_label
-    from predlens.operators.ordering import with_position
-
     pairs = fixed(A.pearson_pairs(px(spark, folder), PX_NUMBERS), 7, "r")
     strong = pairs.select(
         "p1", "p2", pair_label(F.col("p1"), F.col("p2")).alias("predictors"), "r", F.abs("r").alias("strength")

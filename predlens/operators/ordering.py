@@ -30,8 +30,12 @@ def order_number(df: DataFrame, column: str) -> Column:
         return value.cast("double")
     if isinstance(kind, T.DateType):
         return F.unix_date(value).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(value.cast("timestamp")).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        # By its own clock: turned into an instant it could jump back with the session's zone.
+        minutes = F.unix_date(value.cast("date")) * 1440 + F.hour(value) * 60 + F.minute(value)
+        return (minutes * 60 + F.second(value)).cast("double")
     if isinstance(kind, T.StringType):
         head = F.rpad(F.hex(F.substring(value.cast("binary"), 1, 6)), 12, "0")
         return F.conv(head, 16, 10).cast("double")

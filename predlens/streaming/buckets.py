@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def tumbling(
@@ -11,9 +12,11 @@ def tumbling(
 ) -> DataFrame:
     """Aggregate into buckets of ``width``; one row per bucket with its start.
 
-    On a stream, ``late`` is how long a bucket stays open for late rows.
+    Times without zone stay so. On a stream, ``late`` is how long a bucket stays open for late
+    rows; its watermark needs a time with zone.
     """
-    timed = df.withColumn("_time", F.col(time).cast("timestamp"))
+    plain = isinstance(df.schema[time].dataType, T.TimestampNTZType) and late is None
+    timed = df.withColumn("_time", F.col(time) if plain else F.col(time).cast("timestamp"))
     if late is not None:
         timed = timed.withWatermark("_time", late)
     bucket = F.window("_time", width)

@@ -104,10 +104,8 @@ def test_tables_replaced_and_kept(spark):
     kept.unpersist()
 
 
-def test_sql_and_required_columns(spark):
+def test_sql_over_views(spark):
     assert tables.sql_frame(spark, "SELECT count(*) AS n FROM v_three", {"v_three": spark.range(3)}).first()["n"] == 3
-    with pytest.raises(ValueError, match="missing columns: x"):
-        tables.require_columns(spark.range(1), ["id", "x"])
 
 
 def test_registry(spark, tmp_path):

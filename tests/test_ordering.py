@@ -39,6 +39,7 @@ def test_pieces_are_ordered_and_bounded(rows):
 def test_order_numbers_keep_the_order(spark):
     days = [(dt.date(2020, 1, d), dt.datetime(2020, 1, d, 3), f"k{d:02d}", d) for d in range(1, 9)]
     df = spark.createDataFrame(days, "d date, t timestamp, s string, n int")
+    df = df.withColumn("z", F.col("t").cast("timestamp_ntz"))
     for name in df.columns:
         numbers = [r[0] for r in df.orderBy("n").select(O.order_number(df, name)).collect()]
         assert numbers == sorted(numbers) and len(set(numbers)) == 8
