@@ -8,29 +8,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from predlens.llm.bpe import decode_ids, encode_texts
 from predlens.llm.checks import MIX_SQL, SHARD_SQL
+from predlens.llm.langid import identify_languages
 from predlens.llm.mixing import mix_documents
 from predlens.llm.sharding import Tree, shard_documents
 from predlens.llm.urls import judge_urls, sql_judged
 from predlens.sources.tables import parquet_table
 
 SHARDS = 8
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary_path() -> str:
+    """Where the public tokenizer file lies; its package is looked up only when a query needs it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
 
 
 def op1_hash_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(parquet_table(spark, folder, "documents"), Tree.even(SHARDS))
 
 
+def op4_byte_cnn_language(spark: SparkSession, folder: str) -> DataFrame:
+    return identify_languages(parquet_table(spark, folder, "documents"))
+
+
 def op5_url_templates(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(parquet_table(spark, folder, "pages")).withColumn("purity", F.round("purity", 9))
 
 
+def op7_streaming_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = vocabulary_path()
+    texts = parquet_table(spark, folder, "documents").select("doc_id", "text")
+    coded = decode_ids(encode_texts(texts, path).drop("text"), path)
+    return coded.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op8_fair_queue_mix(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mix_documents(parquet_table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("finish", 9).alias("finish"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hash_tree_shards, op5_url_templates, op8_fair_queue_mix)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_hash_tree_shards, op4_byte_cnn_language, op5_url_templates, op7_streaming_bpe, op8_fair_queue_mix)
+}
 
 CHECK_SQL = {
     "op1_hash_tree_shards": SHARD_SQL,
