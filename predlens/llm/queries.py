@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from predlens.llm.bpe import decode_ids, encode_texts
 from predlens.llm.checks import MIX_SQL, SHARD_SQL
 from predlens.llm.langid import identify_languages
+from predlens.llm.minhash import link_documents
 from predlens.llm.mixing import mix_documents
 from predlens.llm.sharding import Tree, shard_documents
+from predlens.llm.substrings import dedup_substrings
 from predlens.llm.urls import judge_urls, sql_judged
 from predlens.sources.tables import parquet_table
 
@@ -39,6 +41,10 @@ def op5_url_templates(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(parquet_table(spark, folder, "pages")).withColumn("purity", F.round("purity", 9))
 
 
+def op6_minhash_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return link_documents(parquet_table(spark, folder, "documents"))
+
+
 def op7_streaming_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = vocabulary_path()
     texts = parquet_table(spark, folder, "documents").select("doc_id", "text")
@@ -56,9 +62,20 @@ def op8_fair_queue_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("finish", 9).alias("finish"))
 
 
+def op9_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document: its text without repeated passages, and the ranges that were cut out."""
+    docs = parquet_table(spark, folder, "documents").select("doc_id", "text")
+    found = dedup_substrings(docs)
+    cut = F.aggregate("removed", F.lit(0), lambda total, span: total + span["end"] - span["start"])
+    return found.select("doc_id", "text", "removed", F.size("removed").alias("n_removed"), cut.alias("chars_removed"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_hash_tree_shards, op4_byte_cnn_language, op5_url_templates, op7_streaming_bpe, op8_fair_queue_mix)
+    for f in (
+        op1_hash_tree_shards, op4_byte_cnn_language, op5_url_templates, op6_minhash_jaccard, op7_streaming_bpe,
+        op8_fair_queue_mix, op9_chunk_dedup,
+    )
 }
 
 CHECK_SQL = {
