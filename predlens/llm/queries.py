@@ -16,6 +16,7 @@ from predlens.llm.mixing import mix_documents
 from predlens.llm.sharding import Tree, shard_documents
 from predlens.llm.substrings import dedup_substrings
 from predlens.llm.urls import judge_urls, sql_judged
+from predlens.llm.wrappers import extract_main_text
 from predlens.sources.tables import parquet_table
 
 SHARDS = 8
@@ -70,11 +71,15 @@ def op9_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "text", "removed", F.size("removed").alias("n_removed"), cut.alias("chars_removed"))
 
 
+def op10_wrapper_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(parquet_table(spark, folder, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_hash_tree_shards, op4_byte_cnn_language, op5_url_templates, op6_minhash_jaccard, op7_streaming_bpe,
-        op8_fair_queue_mix, op9_chunk_dedup,
+        op8_fair_queue_mix, op9_chunk_dedup, op10_wrapper_text,
     )
 }
 

@@ -87,8 +87,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, tree: Template
     """One row per page: host, path, rule, verdict, template, labelled urls of the template, purity.
 
     The urls that a rule decides are the labels. A url no rule decides is blocked where its
-    template's purity reaches ``tree.reject``; a template without labels has the overall share,
-    and without any labels at all everything is allowed. NULL and malformed urls belong to the
+    template has labels and its purity reaches ``tree.reject``; a template without labels has the
+    overall share as its purity, and is allowed. NULL and malformed urls belong to the
     empty host; repeated rows count as often as they occur. Reads page_id and url.
     """
     parts = url_parts(pages.select("page_id", "url"))
@@ -108,7 +108,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, tree: Template
     overall = total["b"] / total["n"] if total["n"] else 0.0
     purity = (F.col("n_blocked") + F.lit(tree.strength * overall)) / (F.col("labelled") + F.lit(tree.strength))
     judged = counts.withColumn("purity", purity).drop("n_blocked")
-    own = F.when(F.col("purity") >= tree.reject, "block").otherwise("allow")
+    own = F.when((F.col("labelled") > 0) & (F.col("purity") >= tree.reject), "block").otherwise("allow")
     template = F.concat_ws("/", "host", *[F.when(F.col(name) != END, F.col(name)) for name in key[1:]])
     return rows.join(judged, key).select(
         "page_id", "host", "path", "rule",
@@ -192,7 +192,7 @@ def sql_judged(rules: tuple[Rule, ...] = RULES, tree: TemplateTree = TemplateTre
       o AS (SELECT CASE WHEN SUM(labelled) > 0 THEN SUM(nb) / SUM(labelled) ELSE 0 END AS p FROM k),
       p AS (SELECT {key}, labelled, (nb + {tree.strength} * p) / (labelled + {tree.strength}) AS purity FROM k, o)
       SELECT page_id, host, path, rule, CASE blocked WHEN 1 THEN 'block' WHEN 0 THEN 'allow'
-          ELSE CASE WHEN purity >= {tree.reject} THEN 'block' ELSE 'allow' END END AS verdict,
+          ELSE CASE WHEN labelled > 0 AND purity >= {tree.reject} THEN 'block' ELSE 'allow' END END AS verdict,
         concat_ws('/', {template}) AS template, labelled, round(purity, 9) AS purity
       FROM g{tree.depth} JOIN p USING ({key})"""
 
