@@ -20,11 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from predlens.llm.components import components
+from predlens.llm.linking import LINKS, classes_of, id_or_last, in_tile, link_sums, per_row, shared_buckets, tiles_of, with_links
 from predlens.llm.shingles import mixed, shingles
 from predlens.session import durable
 
-NO_ID = 2**63 - 1  # a class whose rows all have no id stands behind the others
 SLAB = 8192  # shingles compared at once in a tile
 
 
@@ -67,17 +66,10 @@ def with_class(docs: DataFrame) -> DataFrame:
     has_words = F.col("text").rlike("[^\\x20\\x09-\\x0D]")
     return docs.withColumns({
         "class": F.when(has_words, F.md5(F.col("text").cast("binary"))),
-        "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
+        "id": id_or_last("doc_id"),
     })
 
 
-def classes_of(keyed: DataFrame) -> DataFrame:
-    """(class, class_id, copies, first_rows): per class the smallest id, its rows, and its rows with that id."""
-    by_id = keyed.where("class IS NOT NULL").groupBy("class", "id").agg(F.count("*").alias("first_rows"))
-    sums = by_id.groupBy("class").agg(F.min("id").alias("class_id"), F.sum("first_rows").alias("copies"))
-    return sums.join(by_id.withColumnRenamed("id", "class_id"), ["class", "class_id"])
-
-
 def linked_classes(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     """One row per distinct text of ``docs`` (doc_id, text) that has words.
 
@@ -86,17 +78,15 @@ def linked_classes(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     class_id).
     """
     keyed = with_class(docs.select("doc_id", "text"))
-    known = durable(classes_of(keyed.select("class", "id")).withColumn("number", F.monotonically_increasing_id()), "classes")
+    known = classes_of(keyed.select("class", "id"))
     bands = durable(_bands(keyed, banding).join(known.select("class", "number"), "class").drop("class"), "bands")
-    shared = durable(_shared_bands(bands), "buckets")
-    tiles = durable(_tiles(shared, banding), "tiles")
+    shared = durable(shared_buckets(bands), "buckets")
+    tiles = durable(tiles_of(shared, banding.block), "tiles")
     met = tiles.select("number").distinct().join(known, "number").select("number", "class", F.col("class_id").alias("id"))
     sets = keyed.join(met, ["class", "id"]).select("number", "text").mapInPandas(_sets(banding), "number long, grams binary")
     packed = tiles.join(sets.dropDuplicates(["number"]), "number").join(known.select("number", "copies"), "number")
-    links = durable(packed.groupBy("tile", "one").applyInPandas(_linked(banding), "number long, n_links long, root long"), "links")
-    sums = links.groupBy("number").agg(F.sum("n_links").alias("n_links"))
-    counted = _with_components(known, links).join(sums, "number", "left")
-    return counted.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")).drop("number")
+    links = durable(packed.groupBy("tile", "one").applyInPandas(_linked(banding), LINKS), "links")
+    return with_links(known, links).drop("number")
 
 
 def _bands(keyed: DataFrame, banding: Banding) -> DataFrame:
@@ -106,34 +96,10 @@ def _bands(keyed: DataFrame, banding: Banding) -> DataFrame:
     def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [band_hashes(shingles(text, banding.words), banding, factors) for text in batch["text"]]
-            yield pd.DataFrame({"class": batch["class"], "bands": found})
+            yield pd.DataFrame({"class": batch["class"], "buckets": found})
 
     rows = keyed.where("class IS NOT NULL").select("class", "text")
-    return rows.mapInPandas(banded, "class string, bands array<long>").dropDuplicates(["class"])
-
-
-def _shared_bands(bands: DataFrame) -> DataFrame:
-    """(bucket, number, low): the bands that several classes have, and the smallest class of each."""
-    buckets = bands.select("number", F.explode("bands").alias("bucket"))
-    several = buckets.groupBy("bucket").agg(F.min("number").alias("low"), F.max("number").alias("high")).where("low < high")
-    return buckets.join(several.select("bucket", "low"), "bucket")
-
-
-def _tiles(shared: DataFrame, banding: Banding) -> DataFrame:
-    """(tile, one, number, block): where each class is compared.
-
-    Classes with the same anchor are dealt into blocks by hash. A class goes to the tile of its
-    block with every block that holds another class with one of its bands.
-    """
-    anchors = shared.groupBy("number").agg(F.min("low").alias("anchor"))
-    sizes = anchors.groupBy("anchor").agg(F.ceil(F.count("*") / banding.block).alias("parts"))
-    part = F.pmod(F.xxhash64("number"), F.col("parts"))
-    blocks = durable(anchors.join(sizes, "anchor").select("number", F.xxhash64("anchor", part).alias("block")), "blocks")
-    placed = shared.select("bucket", "number").join(blocks, "number")
-    met = placed.groupBy("bucket").agg(F.collect_set("block").alias("blocks"))
-    sent = placed.join(met, "bucket").groupBy("number", "block").agg(F.array_distinct(F.flatten(F.collect_set("blocks"))).alias("blocks"))
-    each = sent.select("number", "block", F.explode("blocks").alias("other"))
-    return each.select(F.least("block", "other").alias("tile"), F.greatest("block", "other").alias("one"), "number", "block")
+    return rows.mapInPandas(banded, "class string, buckets array<long>").dropDuplicates(["class"])
 
 
 def _sets(banding: Banding):
@@ -161,29 +127,11 @@ def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     return found
 
 
-def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index reachable from each of ``n`` by the links (a, b)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _linked(banding: Banding):
     def linked(tile: pd.DataFrame) -> pd.DataFrame:
         tile = tile.sort_values("number", ignore_index=True)
-        number, block, copies = tile["number"].to_numpy(), tile["block"].to_numpy(), tile["copies"].to_numpy()
         sets = [np.frombuffer(grams, np.uint64) for grams in tile["grams"]]
-        left = np.flatnonzero(block == tile["tile"].iloc[0])
-        right = np.flatnonzero(block == tile["one"].iloc[0])
-        if not len(left) or not len(right):
-            return pd.DataFrame({"number": [], "n_links": [], "root": []}, dtype=np.int64)
+        left, right = in_tile(tile)
         size = np.array([len(s) for s in sets], float)
         both = shared_counts(sets, left, right).astype(float)
         hit = both >= banding.threshold * (size[left][:, None] + size[right][None] - both) - 1e-9
@@ -191,23 +139,11 @@ def _linked(banding: Banding):
         a, b = left[i], right[j]
         if tile["tile"].iloc[0] == tile["one"].iloc[0]:
             a, b = a[a < b], b[a < b]
-        n = len(number)
-        links = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
-        some = links > 0
-        return pd.DataFrame({"number": number[some], "n_links": links[some].astype(np.int64), "root": number[roots_of(n, a, b)][some]})
+        return pd.DataFrame(link_sums(tile, a, b))
 
     return linked
 
 
-def _with_components(known: DataFrame, links: DataFrame) -> DataFrame:
-    """``known`` with root and component_id."""
-    found = durable(components(links.select(F.col("number").alias("a"), F.col("root").alias("b"))), "components")
-    named = found.withColumnRenamed("node", "number").withColumnRenamed("component", "root").join(known.select("number", "class_id"), "number")
-    least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    joined = known.join(named.select("number", "root").join(least, "root"), "number", "left")
-    return joined.withColumns({"root": F.coalesce("root", "number"), "component_id": F.coalesce("component_id", "class_id")})
-
-
 def link_documents(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, component_id, kept.
 
@@ -218,20 +154,8 @@ def link_documents(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     component are its own id. ``kept`` marks the smallest id of a component, in every row that has
     it. Rows with a NULL id stand behind all others; a component without any id has none.
     """
-    classes = linked_classes(docs, banding).select("class", "class_id", "copies", "n_links", "component_id")
-    joined = with_class(docs.select("doc_id", "text")).drop("text").join(classes, "class", "left")
-    known = F.col("class_id").isNotNull()
-
-    def named(column: str):
-        return F.when(known, F.when(F.col(column) != NO_ID, F.col(column))).otherwise(F.col("doc_id").cast("long"))
-
-    return joined.select(
-        "doc_id",
-        named("class_id").alias("class_id"),
-        F.when(known, F.col("n_links") + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
-        named("component_id").alias("component_id"),
-        F.when(known, F.col("id") == F.col("component_id")).otherwise(True).alias("kept"),
-    )
+    keyed = with_class(docs.select("doc_id", "text")).drop("text")
+    return per_row(keyed, linked_classes(docs, banding), "doc_id")
 
 
 def one_per_group(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:

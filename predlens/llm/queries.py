@@ -13,6 +13,8 @@ from predlens.llm.checks import MIX_SQL, SHARD_SQL
 from predlens.llm.langid import identify_languages
 from predlens.llm.minhash import link_documents
 from predlens.llm.mixing import mix_documents
+from predlens.llm.mtree import top_k
+from predlens.llm.pivots import link_vectors
 from predlens.llm.sharding import Tree, shard_documents
 from predlens.llm.substrings import dedup_substrings
 from predlens.llm.urls import judge_urls, sql_judged
@@ -34,6 +36,14 @@ def op1_hash_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(parquet_table(spark, folder, "documents"), Tree.even(SHARDS))
 
 
+def op2_pivot_permutation(spark: SparkSession, folder: str) -> DataFrame:
+    return link_vectors(parquet_table(spark, folder, "embeddings")).drop("class_id")
+
+
+def op3_mtree_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(parquet_table(spark, folder, "embeddings"))
+
+
 def op4_byte_cnn_language(spark: SparkSession, folder: str) -> DataFrame:
     return identify_languages(parquet_table(spark, folder, "documents"))
 
@@ -78,7 +88,7 @@ def op10_wrapper_text(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_hash_tree_shards, op4_byte_cnn_language, op5_url_templates, op6_minhash_jaccard, op7_streaming_bpe,
+        op1_hash_tree_shards, op2_pivot_permutation, op3_mtree_top_k, op4_byte_cnn_language, op5_url_templates, op6_minhash_jaccard, op7_streaming_bpe,
         op8_fair_queue_mix, op9_chunk_dedup, op10_wrapper_text,
     )
 }
