@@ -65,3 +65,41 @@ WITH {CRC_SQL},
 SELECT q.doc_id, q.size, CAST(q.source_size AS BIGINT) AS source_size, q.target, CAST(COALESCE(s.taken, 0) AS BIGINT) AS taken,
   round(s.finish, 9) AS finish
 FROM queue q LEFT JOIN sums s ON q.rank = s.rank AND q.before = s.before AND q.size = s.size"""
+
+#: The smallest id reachable from each node of ``pairs`` (a, b).
+_REACHED = """
+  both_ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+  reached AS (SELECT DISTINCT a AS node, a AS other FROM both_ways
+    UNION SELECT r.node, w.b FROM reached r JOIN both_ways w ON w.a = r.other),
+  least AS (SELECT node, MIN(other) AS component FROM reached GROUP BY node)"""
+
+VECTOR_SQL = f"""
+WITH RECURSIVE sound AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  pairs AS (SELECT l.vec_id AS a, r.vec_id AS b FROM sound l JOIN sound r ON l.vec_id < r.vec_id
+    WHERE list_cosine_similarity(l.v, r.v) >= 0.9),{_REACHED},
+  links AS (SELECT a, COUNT(*) AS n FROM both_ways GROUP BY a)
+SELECT vec_id, COALESCE(n, 0) AS n_links, COALESCE(component, vec_id) AS component_id, vec_id = COALESCE(component, vec_id) AS kept
+FROM embeddings LEFT JOIN links ON a = vec_id LEFT JOIN least ON node = vec_id"""
+
+TOP_K_SQL = """
+WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
+
+JACCARD_SQL = f"""
+WITH RECURSIVE split AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+  classes AS (SELECT text, MIN(doc_id) AS id, COUNT(*) AS copies, ANY_VALUE(w) AS w FROM split WHERE len(w) > 0 GROUP BY text),
+  grams AS (SELECT id, copies, list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' ')) END) AS g FROM classes),
+  sizes AS (SELECT id, copies, len(g) AS size FROM grams),
+  flat AS (SELECT id, unnest(g) AS gram FROM grams),
+  common AS (SELECT l.id AS a, r.id AS b, COUNT(*) AS n FROM flat l JOIN flat r ON l.gram = r.gram AND l.id < r.id GROUP BY ALL),
+  pairs AS (SELECT a, b FROM common JOIN sizes s ON s.id = a JOIN sizes t ON t.id = b WHERE n >= 0.8 * (s.size + t.size - n)),{_REACHED},
+  links AS (SELECT a, SUM(copies) AS n FROM both_ways JOIN sizes ON id = b GROUP BY a)
+SELECT doc_id, COALESCE(c.id, doc_id) AS class_id, CAST(COALESCE(n, 0) + COALESCE(copies - 1, 0) AS BIGINT) AS n_links,
+  COALESCE(component, c.id, doc_id) AS component_id, doc_id = COALESCE(component, c.id, doc_id) AS kept
+FROM split LEFT JOIN classes c ON split.text = c.text LEFT JOIN links ON a = c.id LEFT JOIN least ON node = c.id"""

@@ -6,7 +6,10 @@ back are counts per item and the trees that connect them, never pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,18 +74,58 @@ def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def in_tile(tile) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the rows of a tile's first and second block; the same twice where a block meets itself."""
-    block = tile["block"].to_numpy()
-    return np.flatnonzero(block == tile["tile"].iloc[0]), np.flatnonzero(block == tile["one"].iloc[0])
-
+def links_in_tiles(packed: DataFrame, compare: Callable, payload: list[str]) -> DataFrame:
+    """``LINKS`` of all tiles. ``packed`` has tile, one, number, block, copies and the columns ``payload``.
 
-def link_sums(tile, a: np.ndarray, b: np.ndarray) -> dict:
-    """Rows of ``LINKS`` for the links (a, b) found in a tile sorted by number, each link once."""
-    number, copies = tile["number"].to_numpy(), tile["copies"].to_numpy()
+    ``compare`` gets the payload of a tile as arrays with the places of its first and second
+    block, and returns the places (a, b) of the linked items. The tiles stream through a task
+    one after the other, as there are very many small ones.
+    """
+    columns = ["tile", "one", "number", "block", "copies", *payload]
+    dealt = packed.select(*columns).repartition("tile", "one").sortWithinPartitions("tile", "one", "number")
+
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = _starts(rows)[-1]
+            held = rows.iloc[last:]
+            yield _sums(rows.iloc[:last], compare, payload)
+        if held is not None:
+            yield _sums(held, compare, payload)
+
+    return dealt.mapInPandas(linked, LINKS)
+
+
+def _starts(rows: pd.DataFrame) -> np.ndarray:
+    tile, one = rows["tile"].to_numpy(), rows["one"].to_numpy()
+    return np.concatenate([[0], np.flatnonzero((tile[1:] != tile[:-1]) | (one[1:] != one[:-1])) + 1])
+
+
+def _sums(rows: pd.DataFrame, compare: Callable, payload: list[str]) -> pd.DataFrame:
+    found: list[tuple] = []
+    if len(rows):
+        columns = {name: rows[name].to_numpy() for name in rows.columns}
+        starts = _starts(rows)
+        for start, end in zip(starts, [*starts[1:], len(rows)]):
+            tile, one, block = columns["tile"][start], columns["one"][start], columns["block"][start:end]
+            left, right = np.flatnonzero(block == tile), np.flatnonzero(block == one)
+            if end - start < 2 or not len(left) or not len(right):
+                continue
+            a, b = compare({name: columns[name][start:end] for name in payload}, left, right)
+            if tile == one:
+                a, b = a[a < b], b[a < b]
+            if len(a):
+                found.append(_per_item(columns["number"][start:end], columns["copies"][start:end], a, b))
+    parts = list(zip(*found)) or [[np.zeros(0, np.int64)]] * 3
+    return pd.DataFrame({name: np.concatenate(part) for name, part in zip(("number", "n_links", "root"), parts)})
+
+
+def _per_item(number: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple:
+    """Per linked item of a tile, sorted by number: the rows linked with it, and the smallest number it reaches."""
     links = np.bincount(a, copies[b], len(number)) + np.bincount(b, copies[a], len(number))
     some = links > 0
-    return {"number": number[some], "n_links": links[some].astype(np.int64), "root": number[roots_of(len(number), a, b)][some]}
+    return number[some], links[some].astype(np.int64), number[roots_of(len(number), a, b)][some]
 
 
 def with_links(known: DataFrame, links: DataFrame) -> DataFrame:

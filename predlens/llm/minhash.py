@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from predlens.llm.linking import LINKS, classes_of, id_or_last, in_tile, link_sums, per_row, shared_buckets, tiles_of, with_links
+from predlens.llm.linking import classes_of, id_or_last, links_in_tiles, per_row, shared_buckets, tiles_of, with_links
 from predlens.llm.shingles import mixed, shingles
 from predlens.session import durable
 
@@ -85,7 +85,7 @@ def linked_classes(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     met = tiles.select("number").distinct().join(known, "number").select("number", "class", F.col("class_id").alias("id"))
     sets = keyed.join(met, ["class", "id"]).select("number", "text").mapInPandas(_sets(banding), "number long, grams binary")
     packed = tiles.join(sets.dropDuplicates(["number"]), "number").join(known.select("number", "copies"), "number")
-    links = durable(packed.groupBy("tile", "one").applyInPandas(_linked(banding), LINKS), "links")
+    links = durable(links_in_tiles(packed, _compared(banding), ["grams"]), "links")
     return with_links(known, links).drop("number")
 
 
@@ -127,21 +127,15 @@ def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     return found
 
 
-def _linked(banding: Banding):
-    def linked(tile: pd.DataFrame) -> pd.DataFrame:
-        tile = tile.sort_values("number", ignore_index=True)
+def _compared(banding: Banding):
+    def compared(tile: dict, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sets = [np.frombuffer(grams, np.uint64) for grams in tile["grams"]]
-        left, right = in_tile(tile)
         size = np.array([len(s) for s in sets], float)
         both = shared_counts(sets, left, right).astype(float)
-        hit = both >= banding.threshold * (size[left][:, None] + size[right][None] - both) - 1e-9
-        i, j = np.nonzero(hit)
-        a, b = left[i], right[j]
-        if tile["tile"].iloc[0] == tile["one"].iloc[0]:
-            a, b = a[a < b], b[a < b]
-        return pd.DataFrame(link_sums(tile, a, b))
-
-    return linked
+        i, j = np.nonzero(both >= banding.threshold * (size[left][:, None] + size[right][None] - both) - 1e-9)
+        return left[i], right[j]
+
+    return compared
 
 
 def link_documents(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from predlens.llm.linking import LINKS, NO_ID, classes_of, id_or_last, in_tile, link_sums, per_row, shared_buckets, tiles_of, with_links
+from predlens.llm.linking import NO_ID, classes_of, id_or_last, links_in_tiles, per_row, shared_buckets, tiles_of, with_links
 from predlens.llm.shingles import mixed
 from predlens.session import durable
 
@@ -116,21 +116,16 @@ def _described(pivots: np.ndarray, index: PivotIndex, dimension: int):
     return described
 
 
-def _compared(index: PivotIndex, pivots: int):
-    def compared(tile: pd.DataFrame) -> pd.DataFrame:
-        tile = tile.sort_values("number", ignore_index=True)
-        left, right = in_tile(tile)
+def _compared(index: PivotIndex):
+    def compared(tile: dict, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         units = np.stack([np.frombuffer(unit) for unit in tile["unit"]])
         ranked = np.stack([np.frombuffer(row, np.int32) for row in tile["ranked"]])
-        has = np.zeros((len(tile), pivots), np.float32)
-        np.put_along_axis(has, ranked, 1, axis=1)
+        met, place = np.unique(ranked, return_inverse=True)
+        has = np.zeros((len(units), len(met)), np.float32)
+        np.put_along_axis(has, place.reshape(ranked.shape), 1, axis=1)
         candidate = has[left] @ has[right].T >= min(index.shared, ranked.shape[1])
-        hit = candidate & (units[left] @ units[right].T >= index.threshold)
-        i, j = np.nonzero(hit)
-        a, b = left[i], right[j]
-        if tile["tile"].iloc[0] == tile["one"].iloc[0]:
-            a, b = a[a < b], b[a < b]
-        return pd.DataFrame(link_sums(tile, a, b))
+        i, j = np.nonzero(candidate & (units[left] @ units[right].T >= index.threshold))
+        return left[i], right[j]
 
     return compared
 
@@ -159,7 +154,7 @@ def link_vectors(vectors: DataFrame, index: PivotIndex = PivotIndex()) -> DataFr
     shared = durable(shared_buckets(items), "buckets")
     tiles = durable(tiles_of(shared, index.block), "tiles")
     packed = tiles.join(items.select("number", "copies", "unit", "ranked"), "number")
-    links = durable(packed.groupBy("tile", "one").applyInPandas(_compared(index, len(pivots)), LINKS), "links")
+    links = durable(links_in_tiles(packed, _compared(index), ["unit", "ranked"]), "links")
     keyed = described.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("vec_id"), "id", "class")
     silent = rows.where(~usable()).select(F.col("vec_id").cast("long").alias("vec_id"), "id", F.lit(None).cast("string").alias("class"))
     return per_row(keyed.unionByName(silent), with_links(known, links), "vec_id")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from predlens.llm.bpe import decode_ids, encode_texts
-from predlens.llm.checks import MIX_SQL, SHARD_SQL
+from predlens.llm.checks import JACCARD_SQL, MIX_SQL, SHARD_SQL, TOP_K_SQL, VECTOR_SQL
 from predlens.llm.langid import identify_languages
 from predlens.llm.minhash import link_documents
 from predlens.llm.mixing import mix_documents
@@ -59,9 +59,13 @@ def op6_minhash_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 def op7_streaming_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = vocabulary_path()
     texts = parquet_table(spark, folder, "documents").select("doc_id", "text")
-    coded = decode_ids(encode_texts(texts, path).drop("text"), path)
+    return token_digests(decode_ids(encode_texts(texts, path).drop("text"), path), "doc_id")
+
+
+def token_digests(coded: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` with the number of tokens and the digests of ids and decoded text."""
     return coded.select(
-        "doc_id",
+        *columns,
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
@@ -95,6 +99,9 @@ QUERIES = {
 
 CHECK_SQL = {
     "op1_hash_tree_shards": SHARD_SQL,
+    "op2_pivot_permutation": VECTOR_SQL,
+    "op3_mtree_top_k": TOP_K_SQL,
     "op5_url_templates": sql_judged(),
+    "op6_minhash_jaccard": JACCARD_SQL,
     "op8_fair_queue_mix": MIX_SQL,
 }
