@@ -111,7 +111,7 @@ def _sets(banding: Banding):
 
 
 def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many shingles each set of ``left`` shares with each of ``right``, a slab of shingles at a time."""
+    """How many shingles each set of ``left`` shares with each other one of ``right``, a slab of shingles at a time."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     distinct, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     several = count[place] > 1
