@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from predlens.catalogue.registry import fixed, query, sql_fixed, table
 from predlens.operators.ratios import RatioColumns, annual_ratio, historic_ratio, rolling_ratio
-from predlens.operators.windows import hot_keys, trailing_row_means
+from predlens.operators.windows import trailing_row_means
 from predlens.streaming.buckets import tumbling
 from predlens.transformers import TrailingRatio
 
@@ -100,17 +100,10 @@ SELECT o_custkey, o_orderkey, {sql_fixed('''AVG(o_totalprice) OVER (
 FROM orders""")
 def q_prev5_mean(spark, folder):
     orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    means = trailing_row_means(
-        orders, key="o_custkey", order="o_orderkey", measures=["o_totalprice"], rows=5,
-        hot=hot_keys(orders, "o_custkey", "o_orderkey"),
-    )
+    means = trailing_row_means(orders, key="o_custkey", order="o_orderkey", measures=["o_totalprice"], rows=5)
     return fixed(means, 4, "o_totalprice")
 
 
-# Bounds of an order number's chunk here: the whole range at any scale factor has several.
-PREV50_WIDTH = 2000
-
-
 @query("prev50_mean", f"""
 WITH nation_orders AS (
     SELECT c_nationkey, o_orderkey, o_totalprice, o_totalprice / 1000 AS thousands
@@ -126,7 +119,6 @@ def q_prev50_mean(spark, folder):
         "c_nationkey", "o_orderkey", "o_totalprice", (F.col("o_totalprice") / 1000).alias("thousands")
     )
     means = trailing_row_means(
-        rows, key="c_nationkey", order="o_orderkey", measures=["o_totalprice", "thousands"], rows=50,
-        width=PREV50_WIDTH,
+        rows, key="c_nationkey", order="o_orderkey", measures=["o_totalprice", "thousands"], rows=50
     )
     return fixed(means, 4, "o_totalprice", "thousands")

@@ -3,7 +3,7 @@
 from functools import reduce
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +12,7 @@ from predlens.catalogue.registry import fixed, query, sql_fixed, table
 from predlens.models.neighbours import majority, nearest
 from predlens.models.quadratic import QuadraticDiscriminant, class_moments
 from predlens.models.suite import compare, forest_importance
+from predlens.operators.ordering import dense_codes
 from predlens.operators.scaling import in_test, split, standardize
 from predlens.plans.report import predictor_report
 from predlens.session import scratch_folder
@@ -113,8 +114,8 @@ def q_model_compare(spark, folder):
 SELECT event_id, CAST(DENSE_RANK() OVER (ORDER BY event_type) - 1 AS DOUBLE) AS code FROM events""")
 def q_label_encoding(spark, folder):
     events = table(spark, folder, "events").select("event_id", "event_type")
-    indexer = StringIndexer(inputCol="event_type", outputCol="code", stringOrderType="alphabetAsc")
-    return Pipeline(stages=[indexer]).fit(events).transform(events).select("event_id", "code")
+    codes = dense_codes(events, "event_type")
+    return events.join(codes, "event_type").select("event_id", F.col("code").cast("double").alias("code"))
 
 
 @query("forest_importance")

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from predlens.functions.scalars import safe_ratio
 from predlens.operators.sets import many_groupings
-from predlens.operators.sizes import settled
+from predlens.session import durable
 
 def column_pairs(left: Sequence[str], right: Sequence[str] | None = None) -> list[tuple[str, str]]:
     """All pairs within one list, or across two."""
@@ -115,7 +115,7 @@ def correlation_ratio(df: DataFrame, categorical: Sequence[str], continuous: Seq
     cells = groups.select(
         F.col("p1").alias("p2"), F.col("b1").isNotNull().alias("known"), F.inline(F.array(*rows))
     )
-    cells = settled(cells.filter(F.col("n") > 0))  # used twice: the rows are read once if it is small
+    cells = durable(cells.filter(F.col("n") > 0), "groups")  # used twice
     grand = cells.groupBy("p1", "p2").agg(
         safe_ratio(F.sum(F.when(known, F.col("n") * F.col("m"))), F.sum(F.when(known, F.col("n")))).alias("grand")
     )
@@ -152,7 +152,7 @@ def chi_square(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     counts, which is ``n`` less the expected counts of the other cells. In a 2x2 table all
     cells deviate by the same amount, so the sum of 1/expected gives the corrected value.
     """
-    cells = settled(contingency(df, pairs))  # used four times
+    cells = durable(contingency(df, pairs), "cells")  # used four times
     rows = cells.groupBy("p1", "p2", "b1").agg(F.sum("o").alias("row_total"))
     columns = cells.groupBy("p1", "p2", "b2").agg(F.sum("o").alias("column_total"))
     tables = (

@@ -1,87 +1,44 @@
 """Order-dependent operators without a global sort in one task.
 
-A total order is cut into pieces at approximate quantiles of the leading sort column.
-Pieces are numbered in order, so a row's position is the number of rows in the pieces
-before it plus its rank within its own piece. Each piece is bounded by the share of rows
-between two quantiles, whatever the keys look like.
+The rows are dealt into ranges of the whole sort key, ties of which are broken by the place a
+row was read at, so that no value is too frequent to be cut. A row's position is the number of
+rows in the ranges before its own plus its rank there; a range is a shuffle partition, so its
+size is what ``spark.sql.shuffle.partitions`` makes it.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from predlens.operators.sizes import settled
-
-ROWS_PER_PIECE = 2_000_000
-MAX_PIECES = 4096  # bounds the split points held as a literal
-
-
-def order_number(df: DataFrame, column: str) -> Column:
-    """A double that grows with the column (ties allowed): its value, its day or its first bytes."""
-    kind = df.schema[column].dataType
-    value = F.col(column)
-    if isinstance(kind, T.NumericType):
-        return value.cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(value).cast("double")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(value).cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        # By its own clock: turned into an instant it could jump back with the session's zone.
-        minutes = F.unix_date(value.cast("date")) * 1440 + F.hour(value) * 60 + F.minute(value)
-        return (minutes * 60 + F.second(value)).cast("double")
-    if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(value.cast("binary"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    raise ValueError(f"{column}: cannot cut an order of type {kind.simpleString()}")
-
-
-def with_piece(
-    df: DataFrame, column: str, out: str, *, rows: int | None = None, rows_per_piece: int = ROWS_PER_PIECE
-) -> DataFrame:
-    """Add the number of the order piece each row lies in; NULLs go to the first piece.
 
-    ``rows`` saves the count where the caller has one. A frame that fits one piece is
-    not sampled at all.
+from predlens.session import durable
+
+
+def with_piece(df: DataFrame, order: Sequence[str], out: str, *, pieces: int | None = None) -> DataFrame:
+    """Add the number of the order piece each row lies in, and write the rows down with it.
+
+    Pieces follow the order, NULL first and NaN last. ``pieces`` is at most that many; by
+    default it is the number of shuffle partitions.
     """
-    rows = df.count() if rows is None else rows
-    pieces = min(MAX_PIECES, math.ceil(rows / rows_per_piece))
-    if pieces <= 1:
-        return df.withColumn(out, F.lit(0))
-    keyed = df.withColumn("_number", F.coalesce(order_number(df, column), F.lit(float("-inf"))))
-    finite = keyed.filter(F.col("_number") > float("-inf"))
-    cuts = finite.approxQuantile("_number", [i / pieces for i in range(1, pieces)], 0.25 / pieces)
-    inner = sorted(set(cuts))
-    if not inner:
-        return df.withColumn(out, F.lit(0))
-    bucketizer = Bucketizer(
-        splits=[float("-inf"), *inner, float("inf")], inputCol="_number", outputCol="_piece"
-    )
-    placed = bucketizer.transform(keyed)
-    return placed.withColumn(out, F.col("_piece").cast("int")).drop("_number", "_piece")
+    keys = [*order, "_tie"]
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    cut = tied.repartitionByRange(*keys) if pieces is None else tied.repartitionByRange(pieces, *keys)
+    return durable(cut.withColumn(out, F.spark_partition_id()).drop("_tie"), "pieces")
 
 
 def with_position(
-    df: DataFrame, order: Sequence[str], out: str, *, start: int = 1, rows_per_piece: int = ROWS_PER_PIECE
+    df: DataFrame, order: Sequence[str], out: str, *, start: int = 1, pieces: int | None = None
 ) -> DataFrame:
     """Number the rows in a stated order, without gaps."""
-    rows = df.count()
-    if rows <= rows_per_piece:
-        position = F.row_number().over(Window.orderBy(*order)) + F.lit(start - 1)
-        return df.select("*", position.cast("bigint").alias(out))
-    placed = with_piece(df, order[0], "_cut", rows=rows, rows_per_piece=rows_per_piece)
+    placed = with_piece(df, order, "_cut", pieces=pieces)
     sizes = placed.groupBy("_cut").agg(F.count("*").alias("_size"))
-    # At most MAX_PIECES rows: one task is enough here.
+    # One row per piece: one task is enough here.
     before = Window.orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_cut", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     within = F.row_number().over(Window.partitionBy("_cut").orderBy(*order))
-    ranked = placed.withColumn("_rank", within).join(F.broadcast(offsets), "_cut")
+    ranked = placed.withColumn("_rank", within).join(offsets, "_cut")
     position = F.col("_offset") + F.col("_rank") + F.lit(start - 1)
     return ranked.select(*df.columns, position.cast("bigint").alias(out))
 
@@ -95,13 +52,13 @@ def dense_codes(df: DataFrame, column: str, out: str = "code") -> DataFrame:
 def drop_last(df: DataFrame, order: str, by: Sequence[str] = ()) -> DataFrame:
     """Leave out the last row (of each group) in the order of a unique column.
 
-    Takes one maximum per group instead of ranking the groups' rows; the maxima are found
-    first, so that the rows need not be shuffled to meet them.
+    Takes one maximum per group instead of ranking the groups' rows. Rows without an order
+    value stand first and stay.
     """
     if not by:
         last = df.agg(F.max(order).alias("_last")).select("_last").scalar()
-        return df.filter(F.col(order) < last)
-    last = settled(df.groupBy(*by).agg(F.max(order).alias("_last")))
+        return df.filter(F.col(order).isNull() | (F.col(order) < last))
+    last = df.groupBy(*by).agg(F.max(order).alias("_last"))
     condition = [df[name].eqNullSafe(last[name]) for name in by] + [df[order] == last["_last"]]
     return df.join(last, condition, "left_anti")
 

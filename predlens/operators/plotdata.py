@@ -8,16 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from predlens.functions.bins import Edges, bin_center, closed_bin, edge_columns, half_open_bin
-from predlens.operators.ordering import ROWS_PER_PIECE, with_piece
-from predlens.operators.sizes import settled
+from predlens.operators.ordering import with_piece
+from predlens.session import durable
 
 BINS = 10
 
 
-def range_of(df: DataFrame, value: str) -> tuple[float | None, float | None, int]:
-    """Minimum, maximum and number of the known values of a column."""
-    x = F.col(f"`{value}`").cast("double")
-    return tuple(df.agg(F.min(x), F.max(x), F.count(x)).first())
+def ranges_of(df: DataFrame, *values: str) -> tuple[int, list[tuple[float | None, float | None, int]]]:
+    """The number of rows, and minimum, maximum and number of the known values of each column, in one pass."""
+    columns = [F.col(f"`{value}`").cast("double") for value in values]
+    found = tuple(df.agg(F.count("*"), *[measure(x) for x in columns for measure in (F.min, F.max, F.count)]).first())
+    return found[0], [found[i : i + 3] for i in range(1, len(found), 3)]
 
 
 def binned(df: DataFrame, value: str, response: str | None = None, bins: int | None = BINS) -> DataFrame:
@@ -25,7 +26,7 @@ def binned(df: DataFrame, value: str, response: str | None = None, bins: int | N
 
     ``bins=None`` takes Sturges' number of bins, which are open on the right.
     """
-    lo, hi, rows = range_of(df, value)
+    total, [(lo, hi, rows)] = ranges_of(df, value)
     x = F.col(f"`{value}`")
     if bins is None:
         edges = Edges.sturges(lo, hi, rows)
@@ -36,7 +37,6 @@ def binned(df: DataFrame, value: str, response: str | None = None, bins: int | N
     measures = [F.count("*").alias("rows")]
     if response is not None:
         measures.append(F.avg(response).alias("mean"))
-    total = df.agg(F.count("*").alias("n")).select("n").scalar()
     cells = df.withColumn("bin", index).filter(F.col("bin").isNotNull()).groupBy("bin").agg(*measures)
     return cells.select(
         "*", bin_center(F.col("bin"), edges).alias("center"), (F.col("rows") / total).alias("proportion")
@@ -45,7 +45,7 @@ def binned(df: DataFrame, value: str, response: str | None = None, bins: int | N
 
 def binned_2d(df: DataFrame, first: str, second: str, response: str, bins: int = BINS) -> DataFrame:
     """Count and mean response per cell of a grid of equal-width bins."""
-    one, two = Edges.spanning(*range_of(df, first)[:2], bins), Edges.spanning(*range_of(df, second)[:2], bins)
+    one, two = [Edges.spanning(lo, hi, bins) for lo, hi, _ in ranges_of(df, first, second)[1]]
     placed = df.select(
         closed_bin(F.col(f"`{first}`"), one).alias("bin1"),
         closed_bin(F.col(f"`{second}`"), two).alias("bin2"),
@@ -57,7 +57,8 @@ def binned_2d(df: DataFrame, first: str, second: str, response: str, bins: int =
 
 def histogram_by(df: DataFrame, value: str, by: str, bins: int = BINS) -> DataFrame:
     """Count and density per class and bin; the bins span the range over all classes."""
-    edges = Edges.spanning(*range_of(df, value)[:2], bins)
+    [(lo, hi, _)] = ranges_of(df, value)[1]
+    edges = Edges.spanning(lo, hi, bins)
     placed = df.select(F.col(by), closed_bin(F.col(f"`{value}`"), edges).alias("bin"))
     cells = placed.filter(F.col("bin").isNotNull()).groupBy(by, "bin").agg(F.count("*").alias("rows"))
     # The cells, not the rows, are summed per class: at most one row per class and bin.
@@ -67,17 +68,17 @@ def histogram_by(df: DataFrame, value: str, by: str, bins: int = BINS) -> DataFr
 
 
 def order_statistics(
-    df: DataFrame, by: str, value: str, positions: Mapping[str, Column], *, rows_per_piece: int = ROWS_PER_PIECE
+    df: DataFrame, by: str, value: str, positions: Mapping[str, Column], *, pieces: int | None = None
 ) -> DataFrame:
     """Exact values at given positions of each class's sorted values.
 
     ``positions`` are 0-based and may be fractional (the value is then interpolated); they
     are expressions of the class size ``n``. A class is never sorted as a whole, nor are all
-    rows shuffled: the values are cut into pieces at common split points, the pieces are
-    counted, and only the pieces that hold a wanted position are ranked, equal values as one.
+    rows ranked: the values are cut into common pieces, the pieces are counted, and only those
+    that hold a wanted position are ranked, equal values as one.
     """
     known = df.select(F.col(by), F.col(value).cast("double").alias("_v")).dropna()
-    placed = with_piece(known, "_v", "_cut", rows_per_piece=rows_per_piece)
+    placed = with_piece(known, ["_v"], "_cut", pieces=pieces)
     sizes = placed.groupBy(by, "_cut").agg(F.count("*").alias("_size"))
     up_to = Window.partitionBy(by).orderBy("_cut").rowsBetween(Window.unboundedPreceding, 0)
     starts = sizes.withColumn("_start", F.sum("_size").over(up_to) - F.col("_size"))
@@ -88,8 +89,8 @@ def order_statistics(
     ranks = wanted.select(by, "_name", "_p", F.explode(both).alias("_rank"))
     inside = (F.col("_start") <= F.col("_rank")) & (F.col("_rank") < F.col("_start") + F.col("_size"))
     # A few rows per class: the places to look up.
-    searched = settled(
-        ranks.join(starts, by).filter(inside).select(by, "_cut", "_start", "_name", "_p", "_rank")
+    searched = durable(
+        ranks.join(starts, by).filter(inside).select(by, "_cut", "_start", "_name", "_p", "_rank"), "ranks"
     )
 
     running = Window.partitionBy(by, "_cut").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
@@ -106,23 +107,23 @@ def order_statistics(
     return found.groupBy(by).agg(*summed)
 
 
-def box_by(df: DataFrame, value: str, by: str, *, rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
+def box_by(df: DataFrame, value: str, by: str, *, pieces: int | None = None) -> DataFrame:
     """Five-number summary (linear quartiles), mean and row count per class."""
     last = F.col("n") - 1
     shares = {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}
     five = order_statistics(
-        df, by, value, {name: last * share for name, share in shares.items()}, rows_per_piece=rows_per_piece
+        df, by, value, {name: last * share for name, share in shares.items()}, pieces=pieces
     )
     means = df.filter(F.col(by).isNotNull()).groupBy(by).agg(F.avg(value).alias("mean"), F.count(value).alias("rows"))
     return means.join(five, by)
 
 
-def box_exclusive(df: DataFrame, value: str, by: str, *, rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
+def box_exclusive(df: DataFrame, value: str, by: str, *, pieces: int | None = None) -> DataFrame:
     """Quartiles as medians of the two halves, an odd class's median in neither half."""
     half = F.floor(F.col("n") / 2)
     within = F.when(half > 0, (half - 1) / 2)
     positions = {"q1": within, "median": (F.col("n") - 1) / 2, "q3": F.col("n") - half + within}
-    return order_statistics(df, by, value, positions, rows_per_piece=rows_per_piece)
+    return order_statistics(df, by, value, positions, pieces=pieces)
 
 
 def trend_line(df: DataFrame, x: str, y: str, log_x: bool = False) -> DataFrame:

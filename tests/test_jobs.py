@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from predlens.functions import scalars as S
 from predlens.operators import profile, teams
-from predlens.operators.sizes import broadcast_checked
 from predlens.plans import games as G
 from predlens.plans.measurements import FLOWER_CLASS, FLOWER_MEASURES, class_profile, coded, flower_rows
 from predlens.plans.report import predictor_report
@@ -130,12 +129,6 @@ def test_durable_cuts_the_lineage(spark):
     assert scratch_folder(spark, "x") != scratch_folder(spark, "x")
 
 
-def test_broadcast_only_when_small(spark):
-    hinted = lambda df: "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
-    assert hinted(broadcast_checked(spark.range(5), limit=5))
-    assert not hinted(broadcast_checked(spark.range(6), limit=5))
-
-
 # --- team statistics ---
 
 
@@ -180,18 +173,6 @@ def test_roles_meet_once_per_game(spark):
     assert {r["game_id"]: r["home_BA"] for r in side} == {1: 0.1, 2: 0.4, 3: 0.5, 4: 0.6}
 
 
-@pytest.mark.parametrize("width", [50, 1000])
-def test_feature_table_in_chunks(spark, data, width):
-    from predlens.catalogue.games import game_tables
-
-    tables_ = game_tables(spark, data)
-    keys = ["game_id", "home_team_id", "away_team_id", "home_ERA", "away_BA", "home_xFIP"]
-    rounded = [F.round(k, 9).alias(k) if "_B" in k or "E" in k or "F" in k else F.col(k) for k in keys]
-    whole = G.feature_table(tables_).select(*rounded)
-    chunked = G.feature_table(tables_, width=width).select(*rounded)
-    assert sorted(map(str, whole.collect())) == sorted(map(str, chunked.collect()))
-
-
 def test_differences(spark):
     df = spark.createDataFrame([(3.0, 1.0)], "home_ERA double, away_ERA double")
     assert teams.with_differences(df, ["ERA"]).first()["diff_ERA"] == 2.0

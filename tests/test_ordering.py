@@ -20,42 +20,55 @@ def rows(spark):
     return spark.createDataFrame(data, "id bigint, c string, v double").repartition(7).cache()
 
 
-@pytest.mark.parametrize("per_piece", [100, 10**6])
+@pytest.mark.parametrize("pieces", [None, 1, 25])
 @pytest.mark.parametrize("order", [["id"], ["v", "id"], ["c", "id"]])
-def test_positions(rows, per_piece, order):
-    out = O.with_position(rows, order, "n", start=0, rows_per_piece=per_piece)
+def test_positions(rows, pieces, order):
+    out = O.with_position(rows, order, "n", start=0, pieces=pieces)
     expected = sorted(rows.collect(), key=lambda r: tuple(r[c] for c in order))
     assert [r["n"] for r in sorted(out.collect(), key=lambda r: tuple(r[c] for c in order))] == list(range(2500))
     assert {r["id"]: r["n"] for r in out.collect()} == {r["id"]: i for i, r in enumerate(expected)}
 
 
 def test_pieces_are_ordered_and_bounded(rows):
-    placed = O.with_piece(rows, "id", "p", rows_per_piece=100)
+    placed = O.with_piece(rows, ["id"], "p", pieces=25)
     spans = placed.groupBy("p").agg(F.min("id"), F.max("id"), F.count("*")).orderBy("p").collect()
     assert len(spans) == 25 and all(a[2] < b[1] for a, b in zip(spans, spans[1:]))
     assert max(s[3] for s in spans) <= 200
 
 
-def test_order_numbers_keep_the_order(spark):
-    days = [(dt.date(2020, 1, d), dt.datetime(2020, 1, d, 3), f"k{d:02d}", d) for d in range(1, 9)]
-    df = spark.createDataFrame(days, "d date, t timestamp, s string, n int")
-    df = df.withColumn("z", F.col("t").cast("timestamp_ntz"))
+def test_one_value_and_common_prefixes_are_cut(spark):
+    """Neither a value that all rows share nor a long common prefix ends up in one piece."""
+    df = spark.range(2000).select("id", F.lit("https://same").alias("s"), F.format_string("https://example.org/page/%06d", "id").alias("u"))
+    for column in ("s", "u"):
+        sizes = O.with_piece(df, [column], "p", pieces=10).groupBy("p").count().collect()
+        assert len(sizes) == 10 and max(r["count"] for r in sizes) <= 400
+    assert sorted(r["n"] for r in O.with_position(df, ["s"], "n", pieces=10).collect()) == list(range(1, 2001))
+
+
+@pytest.mark.parametrize("pieces", [1, 10])
+def test_kinds_of_order(spark, pieces):
+    """NULL stands first and NaN last, in dates, times, text and numbers alike."""
+    days = [(dt.date(2020, 1, d), dt.datetime(2020, 1, d, 3), f"k{d:02d}", d, float(d)) for d in range(1, 9)]
+    df = spark.createDataFrame([*days, (None,) * 5], "d date, t timestamp, s string, n int, x double")
     for name in df.columns:
-        numbers = [r[0] for r in df.orderBy("n").select(O.order_number(df, name)).collect()]
-        assert numbers == sorted(numbers) and len(set(numbers)) == 8
-    with pytest.raises(ValueError):
-        O.order_number(df.withColumn("l", F.array("n")), "l")
+        numbered = O.with_position(df, [name], "at", pieces=pieces).collect()
+        assert [r["n"] for r in sorted(numbered, key=lambda r: r["at"])] == [None, *range(1, 9)]
+    odd = spark.createDataFrame([(float("nan"),), (None,), (2.0,), (float("inf"),), (float("nan"),)], "x double")
+    assert [str(r["x"]) for r in sorted(O.with_position(odd, ["x"], "at", pieces=pieces).collect(), key=lambda r: r["at"])] == ["None", "2.0", "inf", "nan", "nan"]
 
 
 def test_nulls_come_first(spark):
     df = spark.createDataFrame([(None,), (3,), (1,)], "x int")
-    assert {r["x"]: r["n"] for r in O.with_position(df, ["x"], "n", rows_per_piece=1).collect()} == {None: 1, 1: 2, 3: 3}
+    assert {r["x"]: r["n"] for r in O.with_position(df, ["x"], "n", pieces=3).collect()} == {None: 1, 1: 2, 3: 3}
 
 
 def test_drop_last(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, None)], "i int, c string")
     assert sorted(r["i"] for r in O.drop_last(df, "i").collect()) == [1, 2, 3, 4]
     assert sorted(r["i"] for r in O.drop_last(df, "i", by=["c"]).collect()) == [1, 4]
+    gaps = spark.createDataFrame([(1, 1), (2, None), (3, 3)], "i int, o int")
+    assert sorted(r["i"] for r in O.drop_last(gaps, "o").collect()) == [1, 2]
+    assert sorted(r["i"] for r in O.drop_last(gaps.withColumn("c", F.lit(1)), "o", by=["c"]).collect()) == [1, 2]
 
 
 def test_codes_and_ranked(spark):
@@ -73,13 +86,13 @@ def exclusive(values):
     return [np.median(values[:half]), np.median(values), np.median(values[len(values) - half :])]
 
 
-@pytest.mark.parametrize("per_piece", [10, 10**6])
-def test_boxes(rows, per_piece):
+@pytest.mark.parametrize("pieces", [None, 1, 60])
+def test_boxes(rows, pieces):
     by_class = {}
     for r in rows.collect():
         by_class.setdefault(r["c"], []).append(r["v"])
-    boxes = {r["c"]: r for r in P.box_by(rows, "v", "c", rows_per_piece=per_piece).collect()}
-    halves = {r["c"]: r for r in P.box_exclusive(rows, "v", "c", rows_per_piece=per_piece).collect()}
+    boxes = {r["c"]: r for r in P.box_by(rows, "v", "c", pieces=pieces).collect()}
+    halves = {r["c"]: r for r in P.box_exclusive(rows, "v", "c", pieces=pieces).collect()}
     assert set(boxes) == set(halves) == set(by_class)
     for c, values in by_class.items():
         five = [boxes[c][n] for n in ("low", "q1", "median", "q3", "high")]
@@ -96,7 +109,7 @@ def test_tiny_classes(spark):
 
 def test_histogram_density(rows):
     cells = P.histogram_by(rows, "v", "c").collect()
-    lo, hi, _ = P.range_of(rows, "v")
+    _, [(lo, hi, _)] = P.ranges_of(rows, "v")
     for c in "abc":
         mine = [r for r in cells if r["c"] == c]
         assert np.isclose(sum(r["density"] for r in mine) * (hi - lo) / 10, 1)

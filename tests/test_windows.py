@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from predlens.operators.ratios import RatioColumns, annual_ratio, historic_ratio, rolling_ratio
-from predlens.operators.windows import HotKeys, chunk_width, hot_keys, trailing_row_means, with_trailing_ratio
+from predlens.operators.windows import trailing_row_means, with_trailing_ratio
 from predlens.transformers import TrailingRatio
 
 DAY = dt.date(2020, 6, 1)
@@ -130,30 +130,34 @@ def games_of_teams(spark):
 
 
 def rounded(df):
-    return sorted(
-        (r["team"], r["game"], r["tag"], None if r["x"] is None else round(r["x"], 9)) for r in df.collect()
-    )
-
-
-@pytest.mark.parametrize("rows", [1, 5, 50])
-@pytest.mark.parametrize("width", [1, 7, 200, 100000])
-def test_chunks_do_not_change_the_means(games_of_teams, rows, width):
-    how = {"key": "team", "order": "game", "measures": ["x"], "rows": rows}
-    assert rounded(trailing_row_means(games_of_teams, **how, width=width)) == rounded(
-        trailing_row_means(games_of_teams, **how)
-    )
+    return [(r["team"], r["game"], r["tag"], None if r["x"] is None else round(r["x"], 9)) for r in df.collect()]
 
 
-def test_hot_keys_are_found_and_spread(games_of_teams):
-    hot = hot_keys(games_of_teams, "team", "game", share=4, floor=100, chunk=100)
-    assert set(hot.widths) == {1}
-    how = {"key": "team", "order": "game", "measures": ["x"], "rows": 50}
-    spread = trailing_row_means(games_of_teams, **how, hot=hot)
-    assert rounded(spread) == rounded(trailing_row_means(games_of_teams, **how, hot=HotKeys({})))
-    assert hot_keys(games_of_teams, "team", "game").widths == {}
+def plain_means(df, rows):
+    """Previous-row means key by key, in Python."""
+    by_team = {}
+    for r in df.collect():
+        by_team.setdefault(r["team"], []).append((r["game"], r["tag"], r["x"]))
+    found = []
+    for team, games in by_team.items():
+        games.sort()
+        for i, (game, tag, _) in enumerate(games):
+            before = [x for _, _, x in games[max(0, i - rows) : i]]
+            found.append((team, game, tag, round(sum(before) / len(before), 9) if before else None))
+    return sorted(found, key=str)
 
 
-def test_chunk_width(games_of_teams):
-    assert chunk_width(games_of_teams, "game", 5000) is None
-    assert chunk_width(games_of_teams, "game", 100) == 100
-    assert chunk_width(games_of_teams.limit(0), "game", 100) is None
+@pytest.mark.parametrize("rows", [1, 5, 50])
+@pytest.mark.parametrize("chunk", [1, 60, 100000])
+def test_chunks_do_not_change_the_means(games_of_teams, rows, chunk):
+    """However the rows are cut, and for the NULL key like for any other."""
+    df = games_of_teams.withColumn("team", F.expr("nullif(team, 1)"))
+    out = trailing_row_means(df, key="team", order="game", measures=["x"], rows=rows, chunk_rows=chunk)
+    assert sorted(rounded(out), key=str) == plain_means(df, rows)
+
+
+def test_no_window_by_key_alone(games_of_teams):
+    out = trailing_row_means(games_of_teams, key="team", order="game", measures=["x"], rows=5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window" in line and "avg" in line]
+    assert windows and all("_chunk" in line for line in windows)
