@@ -210,7 +210,8 @@ class Tokenizer:
         return b"".join(map(self.pieces.__getitem__, cut.findall(text)))
 
     def decode(self, ids: Iterable[int], step: int = 4096) -> str:
-        machine, ids = Decoder(self.text), list(ids)
+        machine = Decoder(self.text)
+        ids = ids if isinstance(ids, list) else list(ids)
         return "".join(machine.feed(ids[i : i + step]) for i in range(0, len(ids), step)) + machine.finish()
 
 
@@ -258,8 +259,11 @@ def decode_ids(df: DataFrame, path: str, ids: str = "token_ids", into: str = "de
 
     def decoded(batches):
         for batch in batches:
-            texts = [tokenizer.value.decode(row or ()) for row in batch.column(ids).to_pylist()]
-            yield _replaced(batch, into, pa.array(texts, pa.string()))
+            lists = batch.column(ids)
+            flat, edges = lists.values.to_numpy(), lists.offsets.to_numpy()
+            known = lists.is_valid().to_numpy(zero_copy_only=False)
+            rows = (flat[a:b].tolist() if valid else [] for a, b, valid in zip(edges[:-1], edges[1:], known))
+            yield _replaced(batch, into, pa.array(map(tokenizer.value.decode, rows), pa.string()))
 
     return df.mapInArrow(decoded, _with(df, into, T.StringType()))
 
