@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from predlens.operators.ordering import with_position
 
@@ -54,11 +56,13 @@ SAMPLE_ROLES = {
         "predictors": ["cylinders", "displacement", "horsepower", "weight", "acceleration", "origin"],
         "response": "mpg",
         "complete": True,
+        "indexed": True,
     },
     "tips": {
         "predictors": ["total_bill", "sex", "smoker", "day", "time", "size"],
         "response": "tip",
         "complete": True,
+        "indexed": True,
     },
     "titanic": {
         "predictors": ["pclass", "sex", "age", "sibsp", "embarked", "class"],
@@ -95,9 +99,23 @@ class Registry:
 
 
 def sample_registry(folder: str) -> Registry:
-    """The sample datasets, read from ``folder/<name>.parquet``."""
+    """The sample datasets, read from ``folder/<name>.parquet``.
+
+    Those that are ``indexed`` get their rows' places in the file as ``index``, gaps included.
+    """
     registry = Registry()
     for name, how in SAMPLE_ROLES.items():
-        path = f"{folder}/{name}.parquet"
-        registry.add(name, Dataset(load=lambda spark, path=path: spark.read.parquet(path), **how))
+        roles = {key: value for key, value in how.items() if key != "indexed"}
+        read = _in_file_order if how.get("indexed") else _as_stored
+        registry.add(name, Dataset(load=partial(read, path=f"{folder}/{name}.parquet"), **roles))
     return registry
+
+
+def _as_stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def _in_file_order(spark: SparkSession, path: str) -> DataFrame:
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = _as_stored(spark, path).select("*", place.alias("_place"))
+    return with_position(rows, ["_place"], "index", start=0).drop("_place")
