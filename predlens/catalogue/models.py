@@ -11,9 +11,10 @@ from predlens.catalogue.parts import PX_SQL, px
 from predlens.catalogue.registry import fixed, query, sql_fixed, table
 from predlens.models.neighbours import majority, nearest
 from predlens.models.quadratic import QuadraticDiscriminant, class_moments
-from predlens.models.suite import compare, forest_importance
+from predlens.models.suite import Effort, compare, forest_importance
 from predlens.operators.ordering import dense_codes
 from predlens.operators.scaling import in_test, split, standardize
+from predlens.plans.measurements import training_scores
 from predlens.plans.report import predictor_report
 from predlens.session import scratch_folder
 
@@ -101,13 +102,15 @@ def q_qda_predict(spark, folder):
     return model.transform(test).select("p_partkey", "y", "prediction")
 
 
+# Less effort than the suite's own, for a check that is run often.
+CHECK_EFFORT = Effort(forest_depth=8, perceptron_steps=200, machine_steps=100, kernel_features=1)
 FEATURES = {"all": ["p_size", "p_retailprice", "z", "q4", "g9"], "top": ["p_size", "z"]}
 
 
 @query("model_compare")
 def q_model_compare(spark, folder):
     train, test = split(px(spark, folder), "p_partkey")
-    return compare(train, test, FEATURES, label="y", key="p_partkey")
+    return compare(train, test, FEATURES, label="y", key="p_partkey", effort=CHECK_EFFORT)
 
 
 @query("label_encoding", """
@@ -126,14 +129,21 @@ def q_forest_importance(spark, folder):
 
 
 REPORTED = ["p_size", "p_retailprice", "z", "hl", "q4", "p_brand"]
+_NUMBERS = [name for name in REPORTED if name not in ("hl", "p_brand")]
 
+# Rows of each section, from the numbers of continuous (c) and categorical (d) predictors.
+_SECTION_ROWS = {
+    "ranking": "c + d", "cont_cont_correlation": "c * (c - 1) / 2", "cont_cont_matrix": "c * c", "cont_cont_slopes": "c * (c - 1) / 2",
+    "cont_cont_effects": "c * (c - 1) / 2", "cont_cat_correlation": "c * d", "cont_cat_matrix": "c * d", "cont_cat_effects": "c * d",
+    "cat_cat_correlation": "d * (d - 1) / 2", "cat_cat_matrix": "d * d", "cat_cat_effects": "d * (d - 1) / 2",
+}
+_SECTIONS_SQL = PX_SQL + f""", k AS (SELECT {" + ".join(f"CAST(COUNT(DISTINCT {name}) > 5 AS INT)" for name in _NUMBERS)} AS c FROM px),
+n AS (SELECT c, {len(REPORTED)} - c AS d FROM k) """ + " UNION ALL ".join(
+    f"SELECT '{name}' AS section, CAST({rows} AS BIGINT) AS rows FROM n" for name, rows in _SECTION_ROWS.items()
+)
 
-@query("rank_report")
-def q_rank_report(spark, folder):
-    return predictor_report(px(spark, folder), REPORTED, "y").sections["ranking"]
 
-
-@query("report_sections")
+@query("report_sections", _SECTIONS_SQL)
 def q_report_sections(spark, folder):
     report = predictor_report(px(spark, folder), REPORTED, "z")
     written = report.write(scratch_folder(spark, "report"))
@@ -142,3 +152,26 @@ def q_report_sections(spark, folder):
         for name, path in zip(report.sections, written)
     ]
     return reduce(DataFrame.unionByName, rows)
+
+
+_TRAINED = {"value": "a", "user_id": "b"}
+
+
+def _hits_sql(model, scores):
+    return f"""SELECT '{model}' AS model, {sql_fixed("AVG(CAST(hit AS DOUBLE))", 6)} AS accuracy
+    FROM (SELECT event_id, ARG_MAX(c, {scores}) = ANY_VALUE(code) AS hit FROM scored GROUP BY event_id)"""
+
+
+@query("training_scores", f"""
+WITH coded AS (SELECT event_id, DENSE_RANK() OVER (ORDER BY event_type) - 1 AS code, value AS a, CAST(user_id AS DOUBLE) AS b
+               FROM events WHERE event_type IN ('click', 'purchase', 'signup')),
+classes AS (SELECT code AS c, LN(COUNT(*) / SUM(COUNT(*)) OVER ()) AS prior, AVG(a) AS ma, AVG(b) AS mb, VAR_POP(a) AS va, VAR_POP(b) AS vb,
+                   VAR_SAMP(a) AS aa, COVAR_SAMP(a, b) AS ab, VAR_SAMP(b) AS bb FROM coded GROUP BY code),
+scored AS (SELECT event_id, code, c, prior - 0.5 * (LN(va) + LN(vb) + (a - ma) ** 2 / va + (b - mb) ** 2 / vb) AS independent,
+                  prior - 0.5 * LN(aa * bb - ab * ab) - 0.5 * ((a - ma) ** 2 * bb - 2 * (a - ma) * (b - mb) * ab + (b - mb) ** 2 * aa)
+                  / (aa * bb - ab * ab) AS joint FROM coded, classes)
+{_hits_sql("naive_bayes", "independent")} UNION ALL {_hits_sql("quadratic_discriminant", "joint")}""")
+def q_training_scores(spark, folder):
+    events = table(spark, folder, "events").where("event_type IN ('click', 'purchase', 'signup')")
+    scores = training_scores(events, list(_TRAINED), "event_type", "event_id", models=["naive_bayes", "quadratic_discriminant"])
+    return fixed(scores, 6, "accuracy")

@@ -215,10 +215,41 @@ def q_ols_t(spark, folder):
     return fixed(slopes.select("p1", "p2", "n", "t"), 5, "t")
 
 
-@query("ols_p")
+# Simpson's rule over x = t + u / (1 - u), u from 0 to 1.
+_NODES = 4000
+
+
+def _tail_sql(density, t):
+    """Twice the integral of a density from ``t`` on; ``density`` makes its SQL from that of a place."""
+    u = f"(i / {_NODES}.0)"
+    value = density(f"(ABS({t}) + {u} / (1 - {u}))")
+    weight = "CASE WHEN i = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"2 * list_sum(list_transform(range({_NODES}), lambda i: {weight} * {value} / ((1 - {u}) * (1 - {u})))) / (3 * {_NODES})"
+
+
+def _student_sql(t, freedom):
+    front = f"EXP(LGAMMA(({freedom} + 1) / 2.0) - LGAMMA({freedom} / 2.0)) / SQRT({freedom} * PI())"
+    return _tail_sql(lambda x: f"{front} * POW(1 + {x} * {x} / {freedom}, -({freedom} + 1) / 2.0)", t)
+
+
+def _normal_sql(z):
+    return _tail_sql(lambda x: f"EXP(-{x} * {x} / 2) / SQRT(2 * PI())", z)
+
+
+def _ols_p_sql(x, y, source="px"):
+    return f"""SELECT '{x}' AS p1, '{y}' AS p2, CORR({y}, {x}) AS r, CAST(REGR_COUNT({y}, {x}) AS BIGINT) - 2 AS v FROM {source}"""
+
+
+@query(
+    "ols_p",
+    PX_SQL + ", pairs AS (" + " UNION ALL ".join(
+        [_ols_p_sql(x, y) for x, y in OLS_PAIRS] + [_ols_p_sql(x, y, "lineitem") for x, y in A.column_pairs(LINE_NUMBERS)]
+    ) + f"""), tested AS (SELECT *, r * SQRT(v / (1 - r * r)) AS t FROM pairs)
+    SELECT p1, p2, {sql_even('t', 6)} AS t_value, {sql_fixed(_student_sql('t', 'v'), 6)} AS p_value FROM tested""",
+)
 def q_ols_p(spark, folder):
     lines = ols_tests(table(spark, folder, "lineitem"), A.column_pairs(LINE_NUMBERS))
-    return ols_tests(px(spark, folder), OLS_PAIRS).unionByName(lines)
+    return fixed(ols_tests(px(spark, folder), OLS_PAIRS).unionByName(lines), 6, "p_value")
 
 
 LOGIT_PREDICTORS = ["p_size", "z", "p_retailprice", "area"]
@@ -255,9 +286,15 @@ def q_logit_z(spark, folder):
     return logistic_tests(px(spark, folder), LOGIT_PREDICTORS, "y").select("predictor", "t_value")
 
 
-@query("logit_zp")
+@query(
+    "logit_zp",
+    PX_SQL + "".join(", " + _newton_sql(p) for p in LOGIT_PREDICTORS) + " UNION ALL ".join(
+        f" SELECT '{p}' AS predictor, {sql_fixed('z', 6)} AS t_value, {sql_fixed(_normal_sql('z'), 6)} AS p_value FROM {p}_{_STEPS}"
+        for p in LOGIT_PREDICTORS
+    ),
+)
 def q_logit_zp(spark, folder):
-    return logistic_tests(px(spark, folder), LOGIT_PREDICTORS, "y")
+    return fixed(logistic_tests(px(spark, folder), LOGIT_PREDICTORS, "y"), 6, "p_value")
 
 
 # --- difference with the mean of the response ---
@@ -409,24 +446,34 @@ def q_pairs_by_strength(spark, folder):
 RANKED_CONT, RANKED_CAT = ["p_size", "p_retailprice", "z"], ["hl", "q4", "p_brand"]
 
 
-@query(
-    "rank_table",
-    PX_SQL + "".join(", " + _newton_sql(p) for p in RANKED_CONT) + " SELECT * FROM ("
-    + " UNION ALL ".join(
-        f"""SELECT predictor, 'continuous' AS kind, msd, wmsd, {sql_fixed('z', 6)} AS t_value
-            FROM ({_cont_sql(p)}), {p}_{_STEPS}""" for p in RANKED_CONT
-    )
-    + " UNION ALL "
-    + " UNION ALL ".join(
-        f"SELECT predictor, 'categorical' AS kind, msd, wmsd, NULL AS t_value FROM ({_cat_sql(c)})"
-        for c in RANKED_CAT
-    )
-    + ")",
-)
+def _ranking_sql(continuous, categorical):
+    """The ranking table but for the importance."""
+    tested = [
+        f"""SELECT predictor, 'continuous' AS kind, msd, wmsd, {sql_fixed('z', 6)} AS t_value, {sql_fixed(_normal_sql('z'), 6)} AS p_value
+            FROM ({_cont_sql(p)}), {p}_{_STEPS}""" for p in continuous
+    ]
+    untested = [
+        f"SELECT predictor, 'categorical' AS kind, msd, wmsd, NULL AS t_value, NULL AS p_value FROM ({_cat_sql(c)})" for c in categorical
+    ]
+    return PX_SQL + "".join(", " + _newton_sql(p) for p in continuous) + f" SELECT * FROM ({' UNION ALL '.join(tested + untested)})"
+
+
+def _ranking(spark, folder, predictors):
+    ranking = predictor_report(px(spark, folder), predictors, "y").sections["ranking"]
+    return fixed(fixed(ranking.drop("importance"), 7, "msd", "wmsd"), 6, "p_value")
+
+
+@query("rank_table", _ranking_sql(RANKED_CONT, RANKED_CAT))
 def q_rank_table(spark, folder):
-    report = predictor_report(px(spark, folder), [*RANKED_CONT, *RANKED_CAT], "y")
-    ranking = report.sections["ranking"].select("predictor", "kind", "msd", "wmsd", "t_value")
-    return fixed(ranking, 7, "msd", "wmsd")
+    return _ranking(spark, folder, [*RANKED_CONT, *RANKED_CAT])
+
+
+REPORTED_CONT, REPORTED_CAT = ["p_size", "p_retailprice", "z"], ["hl", "q4", "p_brand"]
+
+
+@query("rank_report", _ranking_sql(REPORTED_CONT, REPORTED_CAT))
+def q_rank_report(spark, folder):
+    return _ranking(spark, folder, [*REPORTED_CONT, *REPORTED_CAT])
 
 
 @query(

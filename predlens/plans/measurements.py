@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from predlens.models.suite import Effort, compare
 from predlens.operators.ordering import dense_codes, drop_last
 from predlens.operators.profile import describe
+from predlens.session import durable
 from predlens.sources.tables import named_csv
 
 # Columns of the flower measurements file, which has no header.
@@ -41,3 +43,15 @@ def coded(df: DataFrame, label: str, out: str = "label") -> DataFrame:
     """Add the label's number in sorted order, for models."""
     codes = dense_codes(df, label, out)
     return df.join(codes, label).withColumn(out, F.col(out).cast("double"))
+
+
+def training_scores(
+    df: DataFrame, measures: Sequence[str], label: str, key: str, models: Sequence[str] | None = None, effort: Effort = Effort()
+) -> DataFrame:
+    """Accuracy of each classifier on the rows it was fitted to: ``(model, accuracy)``.
+
+    The label may have any number of values. Rows without a measure or label take no part.
+    """
+    rows = durable(coded(df.select(key, label, *measures).na.drop("any"), label, "_code"), "training")
+    scores = compare(rows, rows, {"all": list(measures)}, label="_code", key=key, models=models, effort=effort)
+    return scores.select("model", "accuracy")
