@@ -18,7 +18,7 @@ from predlens.session import durable
 
 WEIGHTS = (5, 2, 1)
 PASSES = 3
-GRID = 2**20  # steps of finish time in which the end of the budget is looked for
+GRID = 2**13  # steps of finish time in which the end of the budget is looked for: no more rows to sum up than some tens of thousands
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
