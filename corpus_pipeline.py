@@ -24,7 +24,7 @@ from predlens.sources.tables import parquet_table
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; those without any letter, empty and NULL texts go."""
     known = with_language(docs, train(docs), language="__found", score="__certainty")
-    return known.where(F.col("__found") != UNDETERMINED).select(*docs.columns)
+    return known.where(F.col("__found") != UNDETERMINED).drop("__found", "__certainty")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +34,11 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that a document with a smaller id keeps; n_chars follows the text."""
-    cut = dedup_substrings(docs)
-    if "n_chars" not in docs.columns:
-        return cut.select(*docs.columns)
-    changed = F.when(F.size("removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", changed).select(*docs.columns)
+    cut = dedup_substrings(docs, into="__removed")
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        cut = cut.withColumn("n_chars", F.when(F.size("__removed") > 0, length).otherwise(F.col("n_chars")))
+    return cut.drop("__removed")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

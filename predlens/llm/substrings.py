@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from predlens.llm.batches import in_small_batches
 from predlens.session import durable
 
 WINDOW_STEPS = 4  # doublings: the hash looks at 2**4 bytes
@@ -117,24 +118,24 @@ def foreign_digests(rows: DataFrame, chunking: Chunking) -> DataFrame:
             if ids:
                 yield pd.DataFrame({"id": np.concatenate(ids), "digest": np.concatenate(digests)})
 
-    chunks = durable(rows.where("text <> ''").mapInPandas(chunked, "id long, digest long"), "chunks")
+    chunks = durable(in_small_batches(rows.where("text <> ''")).mapInPandas(chunked, "id long, digest long"), "chunks")
     kept = chunks.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last")
     moved = chunks.join(kept.drop("last"), "digest").where("id > keeper")
     return moved.groupBy("id").agg(F.collect_set("digest").alias("foreign"))
 
 
-def dedup_substrings(docs: DataFrame, chunking: Chunking = Chunking()) -> DataFrame:
-    """``docs`` with ``text`` without repeated passages, and ``removed``: the ranges cut out.
+def dedup_substrings(docs: DataFrame, chunking: Chunking = Chunking(), into: str = "removed") -> DataFrame:
+    """``docs`` with ``text`` without repeated passages, and in ``into`` the ranges cut out.
 
     Ranges are (start, end) in characters of the old text, in order. Of each repeated passage the
     document with the smallest doc_id keeps one; the edges of a passage that share a chunk with
     other text stay. NULL and empty texts are left alone. Rows with equal ids count as one
     document and do not lose what they share; so do all rows with a NULL id, which come last.
-    A column ``removed`` is replaced; no row is dropped. A document's digests never outgrow it.
+    A column of the name ``into`` is replaced; no row is dropped. A document's digests never outgrow it.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
     foreign = foreign_digests(rows, chunking)
-    gear, columns = chunking.gear(), [c for c in docs.columns if c != "removed"]
+    gear, columns = chunking.gear(), [c for c in docs.columns if c != into]
 
     @F.pandas_udf("text string, removed array<struct<start:int,end:int>>")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -145,7 +146,7 @@ def dedup_substrings(docs: DataFrame, chunking: Chunking = Chunking()) -> DataFr
     own = F.coalesce(F.col("__doc.doc_id").cast("long"), F.lit(NO_ID))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__doc"))
     joined = whole.withColumn("id", own).join(foreign, "id", "left").withColumn("__cut", cut(F.col("__doc.text"), F.col("foreign")))
-    return joined.select(*[(F.col("__cut.text") if c == "text" else F.col(f"__doc.`{c}`")).alias(c) for c in columns], F.col("__cut.removed").alias("removed"))
+    return joined.select(*[(F.col("__cut.text") if c == "text" else F.col(f"__doc.`{c}`")).alias(c) for c in columns], F.col("__cut.removed").alias(into))
 
 
 def _without(text, foreign, chunking: Chunking, gear: np.ndarray):
