@@ -409,17 +409,35 @@ _GRID = f"""CAST(b1 AS VARCHAR) AS b1, CAST(b2 AS VARCHAR) AS b2, {sql_fixed('m'
     {sql_fixed('m - pm', 7)} AS residual, c AS rows, {sql_even('c / n', 3)} AS proportion"""
 
 
+def _center_sql(side, x=None, bins="10"):
+    """The center of the bin ``side`` of a column; NULL for a category."""
+    if x is None:
+        return f"CAST(NULL AS DOUBLE) AS center{side[1]}"
+    ends = f"(SELECT CAST(MIN({x}) AS DOUBLE) FROM px)", f"(SELECT CAST(MAX({x}) AS DOUBLE) FROM px)"
+    return sql_fixed(f"{ends[0]} + ({side} + 0.5) * ({ends[1]} - {ends[0]}) / {bins}", 7) + f" AS center{side[1]}"
+
+
+def _grid_sql(a, b, kind):
+    sturges = f"(SELECT CEIL(LOG2(COUNT({a})) + 1) FROM px)"
+    centers = {
+        "cont_cont": (_center_sql("b1", a), _center_sql("b2", b)),
+        "cont_cat": (_center_sql("b1", a, sturges), _center_sql("b2")),
+        "cat_cat": (_center_sql("b1"), _center_sql("b2")),
+    }[kind]
+    cells = {"cont_cont": _cont_cont_sql, "cont_cat": _cont_cat_sql, "cat_cat": _cat_cat_sql}[kind]
+    return cells(a, b, f"'{kind}' AS kind, {', '.join(centers)}, {_GRID}")
+
+
 @query(
     "dmr_grid",
     PX_SQL + " UNION ALL ".join(
-        [_cont_cont_sql("p_size", "p_retailprice", _GRID), _cont_cat_sql("p_size", "hl", _GRID),
-         _cont_cat_sql("p_retailprice", "hl", _GRID)]
+        [_grid_sql("p_size", "p_retailprice", "cont_cont"), _grid_sql("hl", "q4", "cat_cat")]
+        + [_grid_sql(a, c, "cont_cat") for a in ("p_size", "p_retailprice") for c in ("hl", "q4")]
     ),
 )
 def q_dmr_grid(spark, folder):
-    effects = Effects.of(px(spark, folder), "y", ["p_size", "p_retailprice"], ["hl"])
-    grid = effects.grid().select("p1", "p2", "b1", "b2", "mean", "residual", "rows", "proportion")
-    return fixed(grid, 7, "mean", "residual")
+    effects = Effects.of(px(spark, folder), "y", ["p_size", "p_retailprice"], ["hl", "q4"])
+    return fixed(effects.grid(), 7, "mean", "residual", "center1", "center2")
 
 
 # --- ordered pair tables ---
