@@ -343,13 +343,13 @@ def q_ctas_if_absent(spark, folder):
 
 
 @query("dataset_roles", f"""
-SELECT *, CAST(p_partkey AS BIGINT) AS index FROM ({PARTS_SELECT} part) WHERE area IS NOT NULL AND brand IS NOT NULL""")
+SELECT * REPLACE (CAST(q4 AS VARCHAR) AS q4), CAST(p_partkey AS BIGINT) AS index FROM ({PARTS_SELECT} part) WHERE area IS NOT NULL AND brand IS NOT NULL""")
 def q_dataset_roles(spark, folder):
     registry = Registry().add(
         "parts",
         Dataset(
-            load=lambda session: px(session, folder), response="y", predictors=["p_size", "area", "hl"],
-            complete=True, index_by=["p_partkey"],
+            load=lambda session: sinks.keep_on_disk(px(session, folder)), response="y", predictors=["p_size", "area", "q4"],
+            categorical=["q4"], complete=True, index_by=["p_partkey"],
         ),
     )
     return registry.get(spark).df
