@@ -242,3 +242,23 @@ def test_buckets_on_a_stream(spark, tmp_path):
     assert sorted(map(tuple, spark.table("buckets").select("bucket_start", "n").collect())) == sorted(
         map(tuple, batch.select("bucket_start", "n").collect())
     )
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path, data):
+    """From a folder without the package, with the driver's own path alone."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from predlens.catalogue import all_queries
+from predlens.session import build_session
+spark = build_session("elsewhere", "local[2]", **{{"spark.sql.shuffle.partitions": "2"}})
+print("rows", all_queries()["knn3"](spark, {data!r}).count())
+"""
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=300)
+    assert "rows" in done.stdout, done.stderr[-2000:]
