@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from predlens.llm.batches import in_small_batches
+
 # Fixed value: the pattern by which byte-level tokenizers of this kind cut text into pieces.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -247,7 +249,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", into: str = "toke
             flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
             yield _replaced(batch, into, pa.ListArray.from_arrays(pa.array(offsets), flat))
 
-    return df.mapInArrow(encoded, _with(df, into, T.ArrayType(T.IntegerType())))
+    return in_small_batches(df).mapInArrow(encoded, _with(df, into, T.ArrayType(T.IntegerType())))
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
@@ -265,7 +267,7 @@ def decode_ids(df: DataFrame, path: str, ids: str = "token_ids", into: str = "de
             rows = (flat[a:b].tolist() if valid else [] for a, b, valid in zip(edges[:-1], edges[1:], known))
             yield _replaced(batch, into, pa.array(map(tokenizer.value.decode, rows), pa.string()))
 
-    return df.mapInArrow(decoded, _with(df, into, T.StringType()))
+    return in_small_batches(df).mapInArrow(decoded, _with(df, into, T.StringType()))
 
 
 def _replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from predlens.llm.batches import in_small_batches
 from predlens.llm.hashing import ticket
 
 LETTER = regex.compile(r"\p{L}")
@@ -229,7 +230,7 @@ def with_language(df: DataFrame, network: ByteCnn | None, text: str = "text", la
             yield pd.DataFrame({"language": languages, "score": scores})
 
     found = "__language"
-    return df.withColumn(found, identified(F.col(text))).withColumns({language: F.col(f"{found}.language"), score: F.col(f"{found}.score")}).drop(found)
+    return in_small_batches(df).withColumn(found, identified(F.col(text))).withColumns({language: F.col(f"{found}.language"), score: F.col(f"{found}.score")}).drop(found)
 
 
 def identify_languages(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from predlens.llm.batches import in_small_batches
 from predlens.llm.components import components
 from predlens.session import durable
 
@@ -94,7 +95,7 @@ def links_in_tiles(packed: DataFrame, compare: Callable, payload: list[str]) ->
         if held is not None:
             yield _sums(held, compare, payload)
 
-    return dealt.mapInPandas(linked, LINKS)
+    return in_small_batches(dealt).mapInPandas(linked, LINKS)
 
 
 def _starts(rows: pd.DataFrame) -> np.ndarray:

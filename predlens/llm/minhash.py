@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from predlens.llm.batches import in_small_batches
 from predlens.llm.linking import classes_of, id_or_last, links_in_tiles, per_row, shared_buckets, tiles_of, with_links
 from predlens.llm.shingles import mixed, shingles
 from predlens.session import durable
@@ -98,7 +99,7 @@ def _bands(keyed: DataFrame, banding: Banding) -> DataFrame:
             found = [band_hashes(shingles(text, banding.words), banding, factors) for text in batch["text"]]
             yield pd.DataFrame({"class": batch["class"], "buckets": found})
 
-    rows = keyed.where("class IS NOT NULL").select("class", "text")
+    rows = in_small_batches(keyed.where("class IS NOT NULL").select("class", "text"))
     return rows.mapInPandas(banded, "class string, buckets array<long>").dropDuplicates(["class"])
 
 

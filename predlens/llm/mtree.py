@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from predlens.llm.batches import in_small_batches
 from predlens.session import durable
 
 PAGE = (
@@ -243,6 +244,6 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, tre
     sent = queries.withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))), "kind": F.lit(1)})
     stream = index.unionByName(sent.withColumn("place", F.col("query_id")), allowMissingColumns=True)
     placed = stream.repartition(blocks, "block").sortWithinPartitions("block", "kind", "place")
-    found = placed.mapInPandas(_searched(tree, k, dimension), "query_id long, vec_id long, score long")
+    found = in_small_batches(placed).mapInPandas(_searched(tree, k, dimension), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

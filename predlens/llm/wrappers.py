@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from predlens.llm.batches import in_small_batches
 from predlens.llm.urls import url_parts
 
 # Element kinds of the HTML standard.
@@ -390,7 +391,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     are decoded. A NULL or empty page, and one without main text, has the empty text. Pages whose
     url has no host share the empty host. Repeated rows give equal rows. Reads page_id, url, html.
     """
-    hosted = url_parts(pages.select("page_id", "url", "html"))
+    hosted = in_small_batches(url_parts(pages.select("page_id", "url", "html")))
 
     @F.pandas_udf("string")
     def places(wrappers: pd.Series) -> pd.Series:
