@@ -40,7 +40,8 @@ def shared_buckets(items: DataFrame) -> DataFrame:
     """(bucket, number, low) of items (number, buckets): the buckets of several items, and the smallest item of each."""
     buckets = items.select("number", F.explode("buckets").alias("bucket"))
     several = buckets.groupBy("bucket").agg(F.min("number").alias("low"), F.max("number").alias("high")).where("low < high")
-    return buckets.join(several.select("bucket", "low"), "bucket")
+    # Written down, so that the join below may split a bucket that holds very many items.
+    return buckets.join(durable(several.select("bucket", "low"), "several"), "bucket")
 
 
 def tiles_of(shared: DataFrame, size: int) -> DataFrame:
@@ -54,8 +55,8 @@ def tiles_of(shared: DataFrame, size: int) -> DataFrame:
     sizes = anchors.groupBy("anchor").agg(F.ceil(F.count("*") / size).alias("parts"))
     part = F.pmod(F.xxhash64("number"), F.col("parts"))
     blocks = durable(anchors.join(sizes, "anchor").select("number", F.xxhash64("anchor", part).alias("block")), "blocks")
-    placed = shared.select("bucket", "number").join(blocks, "number")
-    met = placed.groupBy("bucket").agg(F.collect_set("block").alias("blocks"))
+    placed = durable(shared.select("bucket", "number").join(blocks, "number"), "placed")
+    met = durable(placed.groupBy("bucket").agg(F.collect_set("block").alias("blocks")), "met")
     sent = placed.join(met, "bucket").groupBy("number", "block").agg(F.array_distinct(F.flatten(F.collect_set("blocks"))).alias("blocks"))
     each = sent.select("number", "block", F.explode("blocks").alias("other"))
     return each.select(F.least("block", "other").alias("tile"), F.greatest("block", "other").alias("one"), "number", "block")
