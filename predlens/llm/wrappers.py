@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from predlens.llm.batches import in_small_batches
 from predlens.llm.urls import url_parts
+from predlens.session import durable
 
 # Element kinds of the HTML standard.
 BLOCKS = set(
@@ -403,6 +404,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             known = {top: [tuple(path) for path in json.loads(top)] for top in tops.unique()}
             yield pd.Series([main_text(source, known[top]) for source, top in zip(sources, tops)], dtype=object)
 
-    known = infer_wrappers(hosted).select("host", places("wrapper").alias("places"))
+    # Written down, their size is known: few hosts are sent to the pages, many are joined.
+    known = durable(infer_wrappers(hosted).select("host", places("wrapper").alias("places")), "places")
     found = hosted.join(known, "host").withColumn("text", texts("html", "places"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
