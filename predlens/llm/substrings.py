@@ -3,10 +3,11 @@
 A gear hash rolls over the bytes; where it meets a mask, a chunk ends. The decision looks at
 the last 16 bytes only, there is neither a least nor a greatest length, so equal passages are cut
 alike wherever they stand and whatever was inserted before them. Chunks end behind white space
-(or, rarely, between other characters, for scripts without it). Chunks are compared by digest;
-every digest stays in the document with the smallest id that has it, and at its first place there.
-Elsewhere runs of such chunks are cut out if they are long enough to be a passage and not a
-common turn of phrase.
+(or, rarely, between other characters, for scripts without it). What is compared by digest are
+spans of successive chunks, each as short as it can be and still be a passage, not a common turn
+of phrase. Every span stays in the document with the smallest id that has it, and at its first
+place there; elsewhere its chunks are cut out. So whatever goes stood together, word for word, in
+another place, however many of its phrases occur on their own in other documents.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from predlens.llm.batches import in_small_batches
-from predlens.session import durable
 
 WINDOW_STEPS = 4  # doublings: the hash looks at 2**4 bytes
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+FACTOR = 0x9E3779B97F4A7C15  # any odd number: the place of a chunk in its span
 NO_ID = 2**63 - 1  # rows without an id count as one last document
 
 
@@ -33,7 +34,7 @@ NO_ID = 2**63 - 1  # rows without an id count as one last document
 class Chunking:
     """A chunk ends at one in ``2**space_bits`` white spaces and one in ``2**other_bits`` other characters.
 
-    A run of repeated chunks is a passage from ``words`` words on.
+    Successive chunks are a passage from ``words`` words on.
     """
 
     space_bits: int = 2
@@ -67,13 +68,31 @@ def chunk_ends(data: np.ndarray, chunking: Chunking, gear: np.ndarray) -> np.nda
     return np.flatnonzero(cut) + 1
 
 
-def chunk_digests(data: bytes, ends: np.ndarray) -> np.ndarray:
-    """A digest per chunk, not counting white space at its ends."""
+def spans(data: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first chunk, and the one behind the last, of every shortest span of ``least`` words.
+
+    From each chunk forwards and from each chunk backwards: the spans within a passage cover all its chunks.
+    """
+    words = word_starts(data)[np.concatenate([[0], ends])]
+    behind = np.searchsorted(words, words[:-1] + least, "left")
+    before = np.searchsorted(words, words[1:] - least, "right") - 1
+    n, chunk = len(words), np.arange(len(ends))
+    forwards, backwards = behind < n, before >= 0
+    found = np.unique(np.concatenate([chunk[forwards] * n + behind[forwards], before[backwards] * n + chunk[backwards] + 1]))
+    return found // n, found % n
+
+
+def chunk_digests(data: bytes, ends: np.ndarray, least: int = Chunking.words) -> np.ndarray:
+    """A digest per span of chunks, from those of its chunks, which do not count white space at their ends."""
     start, found, digest = 0, np.empty(len(ends), np.uint64), xxhash.xxh3_64_intdigest
     for i, end in enumerate(ends.tolist()):
         found[i] = digest(data[start:end].strip())
         start = end
-    return found.view(np.int64)
+    first, behind = spans(np.frombuffer(data, np.uint8), ends, least)
+    power, inverse = (np.cumprod(np.full(len(ends), base, np.uint64)) for base in (FACTOR, pow(FACTOR, -1, 2**64)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(found * inverse, dtype=np.uint64)])
+    mixed = (sums[behind] - sums[first]) * power[first]  # the same wherever the span begins
+    return (mixed ^ mixed >> np.uint64(32)).view(np.int64)
 
 
 def word_starts(data: np.ndarray) -> np.ndarray:
@@ -85,25 +104,26 @@ def word_starts(data: np.ndarray) -> np.ndarray:
 
 
 def passages(data: np.ndarray, ends: np.ndarray, digests: np.ndarray, foreign: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Byte ranges to cut out: runs of at least ``least`` words of chunks kept elsewhere or met before."""
+    """Byte ranges to cut out: the chunks of all spans of ``least`` words that are kept elsewhere or were met before."""
     order = np.argsort(digests, kind="stable")
-    repeated = np.zeros(len(digests), bool)
-    repeated[order[1:]] = digests[order][1:] == digests[order][:-1]
-    gone = repeated | np.isin(digests, foreign)
+    gone = np.isin(digests, foreign)
+    gone[order[1:]] |= digests[order][1:] == digests[order][:-1]
     if not gone.any():
         return []
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+    first, behind = spans(data, ends, least)
+    n = len(ends) + 1
+    covered = np.cumsum(np.bincount(first[gone], minlength=n) - np.bincount(behind[gone], minlength=n)) > 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8)])))
     starts = np.concatenate([[0], ends])
-    words = word_starts(data)
-    runs = [(int(starts[a]), int(starts[b])) for a, b in edges.reshape(-1, 2)]
-    return [(a, b) for a, b in runs if words[b] - words[a] >= least]
+    return [(int(starts[a]), int(starts[b])) for a, b in edges.reshape(-1, 2)]
 
 
 def foreign_digests(rows: DataFrame, chunking: Chunking) -> DataFrame:
     """(id, foreign): for each document that has any, the digests that a document with a smaller id keeps.
 
     ``rows`` has id and text. A digest's rows are reduced to its smallest and largest id before
-    and after the shuffle; only digests of several documents meet the documents again.
+    and after the shuffle; only digests of several documents meet the documents again, and for
+    that are made a second time, as they would fill more disk than the texts.
     """
     gear = chunking.gear()
 
@@ -112,13 +132,13 @@ def foreign_digests(rows: DataFrame, chunking: Chunking) -> DataFrame:
             ids, digests = [], []
             for key, text in zip(batch["id"], batch["text"]):
                 raw = text.encode()
-                found = np.unique(chunk_digests(raw, chunk_ends(np.frombuffer(raw, np.uint8), chunking, gear)))
+                found = np.unique(chunk_digests(raw, chunk_ends(np.frombuffer(raw, np.uint8), chunking, gear), chunking.words))
                 ids.append(np.full(len(found), key, np.int64))
                 digests.append(found)
             if ids:
                 yield pd.DataFrame({"id": np.concatenate(ids), "digest": np.concatenate(digests)})
 
-    chunks = durable(in_small_batches(rows.where("text <> ''")).mapInPandas(chunked, "id long, digest long"), "chunks")
+    chunks = in_small_batches(rows.where("text <> ''")).mapInPandas(chunked, "id long, digest long")
     kept = chunks.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last")
     moved = chunks.join(kept.drop("last"), "digest").where("id > keeper")
     return moved.groupBy("id").agg(F.collect_set("digest").alias("foreign"))
@@ -156,7 +176,7 @@ def _without(text, foreign, chunking: Chunking, gear: np.ndarray):
     data = np.frombuffer(raw, np.uint8)
     ends = chunk_ends(data, chunking, gear)
     other = np.asarray(foreign if foreign is not None else [], np.int64)
-    gone = passages(data, ends, chunk_digests(raw, ends), other, chunking.words)
+    gone = passages(data, ends, chunk_digests(raw, ends, chunking.words), other, chunking.words)
     if not gone:
         return text, []
     kept, at = [], 0

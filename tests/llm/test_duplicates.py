@@ -173,6 +173,27 @@ def test_repeated_passages_are_cut(frame):
             assert set(grams(row["text"])) & set(grams(passage)) != set(grams(passage))
 
 
+def test_phrases_of_many_documents_are_no_passage(frame):
+    rng = random.Random(12)
+    made = prose(rng, 200)
+    data = made.encode()
+    ends = chunk_ends(np.frombuffer(data, np.uint8), Chunking(), Chunking().gear()).tolist()
+    chunks = [data[a:b].decode() for a, b in zip([0, *ends], ends)]
+    rows = [(i, f"{chunk}and {prose(rng, 3)}") for i, chunk in enumerate(chunks)]  # every chunk stands alone in a document
+    rows += [(1000, made), (1001, f"{prose(rng, 30)}\n{made}")]
+    found = {r["doc_id"]: r for r in dedup_substrings(frame(rows, "doc_id long, text string")).collect()}
+    assert found[1000]["text"] == made and found[1000]["removed"] == []
+    assert len(found[1001]["text"].split()) < 60
+
+
+def test_passages_are_cut_to_their_last_chunk(frame):
+    rng = random.Random(13)
+    for n in (20, 21, 25, 40, 77):
+        text = prose(rng, n)
+        found = {r["doc_id"]: r["text"] for r in dedup_substrings(frame([(1, text), (2, text)], "doc_id long, text string")).collect()}
+        assert found == {1: text, 2: ""}
+
+
 def test_substring_edge_cases(frame):
     rng = random.Random(9)
     passage, other = prose(rng, 100), prose(rng, 100)
