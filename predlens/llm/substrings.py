@@ -1,9 +1,10 @@
 """Substring deduplication by content-defined chunks.
 
 A gear hash rolls over the bytes; where it meets a mask, a chunk ends. The decision looks at
-the last 16 bytes only, there is neither a least nor a greatest length, so equal passages are cut
+the last 16 bytes, and 48 for white space, there is neither a least nor a greatest length, so equal passages are cut
 alike wherever they stand and whatever was inserted before them. Chunks end behind white space
-(or, rarely, between other characters, for scripts without it). What is compared by digest are
+or, rarely, between other characters; in a stretch without any, as in scripts that do not space
+words, between characters as often as else between a few words. What is compared by digest are
 spans of successive chunks, each as short as it can be and still be a passage, not a common turn
 of phrase. Every span stays in the document with the smallest id that has it, and at its first
 place there; elsewhere its chunks are cut out. So whatever goes stood together, word for word, in
@@ -26,19 +27,23 @@ from predlens.llm.batches import in_small_batches
 WINDOW_STEPS = 4  # doublings: the hash looks at 2**4 bytes
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+STRETCH = 48  # bytes without white space after which text counts as unspaced
+PER_WORD = 3  # unspaced characters that count as a word
 FACTOR = 0x9E3779B97F4A7C15  # any odd number: the place of a chunk in its span
 NO_ID = 2**63 - 1  # rows without an id count as one last document
 
 
 @dataclass(frozen=True)
 class Chunking:
-    """A chunk ends at one in ``2**space_bits`` white spaces and one in ``2**other_bits`` other characters.
+    """A chunk ends at one in ``2**space_bits`` white spaces and one in ``2**other_bits`` other characters,
+    ``2**unspaced_bits`` where no white space is near.
 
-    Successive chunks are a passage from ``words`` words on.
+    Successive chunks are a passage from ``words`` words on; three unspaced characters count as one.
     """
 
     space_bits: int = 2
     other_bits: int = 10
+    unspaced_bits: int = 4
     words: int = 20
     seed: int = 11
 
@@ -55,6 +60,14 @@ def rolling_hash(data: np.ndarray, gear: np.ndarray) -> np.ndarray:
     return h
 
 
+def unspaced(space: np.ndarray) -> np.ndarray:
+    """Which bytes follow on ``STRETCH`` bytes without white space and are none."""
+    met = np.concatenate([[0], np.cumsum(space)])
+    found = np.zeros(len(space), bool)
+    found[STRETCH:] = met[STRETCH + 1 :] == met[: -STRETCH - 1]
+    return found
+
+
 def chunk_ends(data: np.ndarray, chunking: Chunking, gear: np.ndarray) -> np.ndarray:
     """Where the chunks of a text end, in bytes; the last one at the end of the text."""
     if not len(data):
@@ -63,7 +76,8 @@ def chunk_ends(data: np.ndarray, chunking: Chunking, gear: np.ndarray) -> np.nda
     space = SPACE[data]
     starts = np.ones(len(data), bool)  # a character ends where the next byte does not continue it
     starts[:-1] = (data[1:] & 0xC0) != 0x80
-    cut = space & (h >> (16 - chunking.space_bits) == 0) | ~space & starts & (h >> (16 - chunking.other_bits) == 0)
+    bits = np.where(unspaced(space), min(chunking.unspaced_bits, chunking.other_bits), chunking.other_bits)
+    cut = space & (h >> (16 - chunking.space_bits) == 0) | ~space & starts & (h >> (16 - bits) == 0)
     cut[-1] = True
     return np.flatnonzero(cut) + 1
 
@@ -73,7 +87,7 @@ def spans(data: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, n
 
     From each chunk forwards and from each chunk backwards: the spans within a passage cover all its chunks.
     """
-    words = word_starts(data)[np.concatenate([[0], ends])]
+    words, least = word_starts(data)[np.concatenate([[0], ends])], PER_WORD * least
     behind = np.searchsorted(words, words[:-1] + least, "left")
     before = np.searchsorted(words, words[1:] - least, "right") - 1
     n, chunk = len(words), np.arange(len(ends))
@@ -96,11 +110,11 @@ def chunk_digests(data: bytes, ends: np.ndarray, least: int = Chunking.words) ->
 
 
 def word_starts(data: np.ndarray) -> np.ndarray:
-    """How many words start before each byte, and at the end."""
+    """How many words start before each byte, and at the end, in shares of ``PER_WORD``; unspaced characters count one."""
     space = SPACE[data]
     begins = ~space
     begins[1:] &= space[:-1]
-    return np.concatenate([[0], np.cumsum(begins)])
+    return np.concatenate([[0], np.cumsum(PER_WORD * begins + (unspaced(space) & ((data & 0xC0) != 0x80)))])
 
 
 def passages(data: np.ndarray, ends: np.ndarray, digests: np.ndarray, foreign: np.ndarray, least: int) -> list[tuple[int, int]]:

@@ -11,7 +11,7 @@ from predlens.llm.minhash import Banding, link_documents, one_per_group, shared_
 from predlens.llm.mtree import MTree, top_k
 from predlens.llm.pivots import PivotIndex, link_vectors
 from predlens.llm.shingles import shingles
-from predlens.llm.substrings import Chunking, chunk_ends, dedup_substrings, rolling_hash
+from predlens.llm.substrings import Chunking, chunk_ends, dedup_substrings, rolling_hash, word_starts
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -194,6 +194,22 @@ def test_passages_are_cut_to_their_last_chunk(frame):
         assert found == {1: text, 2: ""}
 
 
+@pytest.mark.parametrize("first, last, size", [(0x4E00, 0x9FA0, 300), (0x3041, 0x3090, 300), (0x0E01, 0x0E2F, 500), (0x4E00, 0x9FA0, 4000)])
+def test_passages_in_scripts_without_spaces(frame, first, last, size):
+    rng = random.Random(14)
+
+    def written(n):
+        return "".join(chr(rng.randrange(first, last)) for _ in range(n))
+
+    passage = written(size)
+    rows = [(1, written(400) + passage + written(90)), (2, written(250) + passage + written(700)), (3, written(900)), (4, passage[:30] + written(300))]
+    found = {r["doc_id"]: r["text"] for r in dedup_substrings(frame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i] == rows[i - 1][1] for i in (1, 3, 4))
+    assert 950 <= len(found[2]) <= 950 + 160
+    spaced = f"a {'x' * 40} b".encode()  # a long word of a spaced text is one
+    assert word_starts(np.frombuffer(spaced, np.uint8))[-1] == 3 * 3
+
+
 def test_substring_edge_cases(frame):
     rng = random.Random(9)
     passage, other = prose(rng, 100), prose(rng, 100)
