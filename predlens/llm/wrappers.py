@@ -32,6 +32,7 @@ BLOCKS = set(
 SILENT = set("head script style noscript template title textarea select option button iframe object svg math canvas audio video map datalist".split())
 RAW = set("script style textarea title iframe noscript".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+IN_HEAD = set("html head base basefont bgsound link meta title noscript noframes style script template".split())
 SPACING = set("br td th hr wbr".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "tbody": {"tr", "tbody", "thead"}, "tfoot": {"tr", "tbody", "thead"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
@@ -156,12 +157,18 @@ def folded(nodes: list[Node], longest: int = 3) -> list[Node]:
 
 
 def role(tag: str, attributes: str) -> str:
-    """The tag, with the first telling word of its class, id or role."""
+    """The tag, with the first telling word of its class, id or role.
+
+    An article, a main element or a part with a name of content is boilerplate only if a whole name
+    says so: ``sidebar`` does, ``has-sidebar`` does not.
+    """
     if tag not in NAMED or not attributes:
         return tag
-    words = WORD.findall(" ".join(NAMES.findall(attributes)).lower())
-    for kind in (BOILERPLATE, CONTENT):
-        for word in words:
+    names = " ".join(value.strip("\"'") for value in NAMES.findall(attributes)).lower().split()
+    words = [WORD.findall(name) for name in names]
+    content = tag in ("article", "main") or any(not CONTENT.isdisjoint(parts) and BOILERPLATE.isdisjoint(parts) for parts in words)
+    for kind, parts in ((BOILERPLATE, names if content else sum(words, [])), (CONTENT, sum(words, []))):
+        for word in parts:
             if word in kind:
                 return f"{tag}.{word}"
     return tag
@@ -187,11 +194,13 @@ class Page:
     def _read(self, source: str) -> None:
         at = 0
         while (token := TOKEN.search(source, at)) is not None:
-            if token.start() > at and not self.silent:
-                self._text(source[at : token.start()])
+            if token.start() > at:
+                self._between(source[at : token.start()])
             at = token.end()
             end, tag, attributes, cut_end, cut_tag, cut_attributes = token.groups()
             tag = (tag or cut_tag or "").lower()
+            if tag and not (end or cut_end) and tag not in IN_HEAD:
+                self._end_head()
             if tag not in TELLING:
                 continue
             if end or cut_end:
@@ -201,8 +210,18 @@ class Page:
             if tag in RAW:
                 close = RAW_END[tag].search(source, at)
                 at = close.start() if close else len(source)
+        self._between(source[at:])
+
+    def _end_head(self) -> None:
+        """A head left open ends where something stands that it cannot hold."""
+        if self.silent and self.silent[-1] == "head":
+            self.silent = []
+
+    def _between(self, text: str) -> None:
+        if self.silent and text.strip():
+            self._end_head()
         if not self.silent:
-            self._text(source[at:])
+            self._text(text)
 
     def _text(self, text: str) -> None:
         if text:

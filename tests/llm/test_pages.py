@@ -49,6 +49,36 @@ def test_blocks(source, wanted):
     assert (text_of(source) if source else main_text(source, [])) == wanted
 
 
+@pytest.mark.parametrize(
+    "source, wanted",
+    [
+        ("<html><head><title>t</title><meta charset=utf-8><body><article><p>a</p></article>", "a"),
+        ("<head><title>t</title><link href=x><script>s</script><article><p>a</p></article>", "a"),
+        ("<head><title>t</title><span>a</span> b", "a b"),
+        ("<head><title>t</title>a<p>b</p>", "a\nb"),
+        ("<head><style>s</style><noscript>n</noscript> <template><p>no</p></template><svg><title>s</title></svg><p>a</p>", "a"),
+        ("<head><title>t</title></head><body><p>a</p></body>", "a"),
+    ],
+)
+def test_heads_left_open(source, wanted):
+    assert text_of(source) == wanted
+
+
+@pytest.mark.parametrize(
+    "source, wanted",
+    [
+        ("<article class='post has-sidebar'><p>a</p></article>", "a"),
+        ("<main class=no-sidebar><p>a</p></main>", "a"),
+        ("<div class='content with-comments'><p>a</p></div><div class=entry-footer>f</div>", "a"),
+        ("<div id='content' class='footer-dark'><p>a</p><div class='post-comments'>c</div></div>", "a"),
+        ("<article><p>a</p></article><article class='Sidebar wide'><p>s</p></article>", "a"),
+        ("<article><p>a</p><div class='content ad'>buy</div><div class=has-sidebar>s</div></article>", "a"),
+    ],
+)
+def test_boilerplate_words_in_names_of_content(source, wanted):
+    assert text_of(source) == wanted
+
+
 def test_wrapper_of_two_pages():
     one = "<nav><ul><li>a<li>b</ul></nav><article><h1>A</h1><p>x</p></article><footer>same</footer>"
     two = "<nav><ul><li>c</ul></nav><div class=ad>!</div><article><h1>B</h1><p>y</p><p>z</p></article><footer>same</footer>"
