@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import md5
 from itertools import combinations
-from math import comb
+from math import ceil, comb, log2
 
 import numpy as np
 import pandas as pd
@@ -27,11 +27,13 @@ from predlens.session import durable
 
 @dataclass(frozen=True)
 class PivotIndex:
-    """``prefix`` nearest pivots, lists of ``shared`` of them, links from cosine ``threshold`` on.
+    """``prefix`` nearest pivots or more, lists of ``shared`` of them, links from cosine ``threshold`` on.
 
     The number of pivots grows with the cube root of the vectors, so that an unrelated vector
     shares a list with about ``strangers`` others whatever their number; it stays between
     ``fewest`` and ``most``, and the sample it is taken from is ``oversample`` times as large.
+    Up to ``dense`` pivots a pair at the threshold meets with ``prefix`` of them with a probability of
+    0.95; among more its nearest ones differ more, and each doubling takes one more to stay there.
     """
 
     prefix: int = 8
@@ -40,6 +42,7 @@ class PivotIndex:
     strangers: float = 4.0
     fewest: int = 64
     most: int = 4096
+    dense: int = 512
     oversample: int = 2
     apart: float = 0.8
     block: int = 128
@@ -49,6 +52,10 @@ class PivotIndex:
         wanted = (6 * lists * lists * max(1, vectors) / self.strangers) ** (1 / 3)
         return int(min(self.most, max(self.fewest, wanted)))
 
+    def near(self, pivots: int) -> int:
+        """How many of so many pivots describe a vector."""
+        return min(pivots, self.prefix + max(0, ceil(log2(max(1, pivots) / self.dense))))
+
 
 def unit_rows(vectors, dimension: int) -> np.ndarray:
     """Vectors of length 1 as rows, in double precision; shorter ones are filled up with zeros."""
@@ -85,7 +92,7 @@ def choose_pivots(vectors: DataFrame, index: PivotIndex, dimension: int) -> np.n
 
 def list_names(units: np.ndarray, pivots: np.ndarray, index: PivotIndex) -> tuple[np.ndarray, np.ndarray]:
     """Per vector its nearest pivots in order, and the names of its inverted lists."""
-    near = min(index.prefix, len(pivots))
+    near = index.near(len(pivots))
     ranked = np.argsort(-(units @ pivots.T), axis=1, kind="stable")[:, :near]
     ascending = np.sort(ranked, axis=1).astype(np.uint64)
     names = []

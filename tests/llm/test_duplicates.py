@@ -9,7 +9,7 @@ from predlens.llm.components import components
 from predlens.llm.linking import roots_of
 from predlens.llm.minhash import Banding, link_documents, one_per_group, shared_counts
 from predlens.llm.mtree import MTree, top_k
-from predlens.llm.pivots import PivotIndex, link_vectors
+from predlens.llm.pivots import PivotIndex, link_vectors, list_names
 from predlens.llm.shingles import shingles
 from predlens.llm.substrings import Chunking, chunk_ends, dedup_substrings, rolling_hash, word_starts
 
@@ -259,6 +259,23 @@ def test_vector_links_have_recall(frame):
     assert all(r["kept"] == (r["component_id"] == i) for i, r in found.items())
 
 
+@pytest.mark.parametrize("pivots", [64, 512, 1024, 2048, 4096])
+def test_pairs_at_the_threshold_meet_for_any_number_of_pivots(pivots):
+    rng = np.random.default_rng(15)
+
+    def units(n):
+        rows = rng.normal(size=(n, 64))
+        return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+    index, one, points = PivotIndex(), units(800), units(pivots)
+    other = rng.normal(size=one.shape)
+    other -= (other * one).sum(1, keepdims=True) * one
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    other = index.threshold * one + np.sqrt(1 - index.threshold**2) * other
+    lists = [list_names(side, points, index)[1] for side in (one, other)]
+    assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(*lists)]) >= 0.93
+
+
 def test_vector_edge_cases(frame):
     nan, inf = float("nan"), float("inf")
     rows = [
