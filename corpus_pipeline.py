@@ -22,9 +22,15 @@ from predlens.sources.tables import parquet_table
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; those without any letter, empty and NULL texts go."""
-    known = with_language(docs, train(docs), language="__found", score="__certainty")
-    return known.where(F.col("__found") != UNDETERMINED).drop("__found", "__certainty")
+    """Documents whose text has a language; those without any letter, empty and NULL texts go.
+
+    A NULL lang becomes the language found; where no document could be learned from it stays NULL.
+    """
+    network = train(docs)
+    if network is None:
+        return docs.where(F.col("text").rlike("\\p{L}"))
+    known = with_language(docs, network, language="__found", score="__certainty").where(F.col("__found") != UNDETERMINED)
+    return known.withColumn("lang", F.coalesce("lang", "__found")).drop("__found", "__certainty")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,16 @@ def test_language_stage(stages):
     assert rows(stages[1]) == sorted((tuple(r) for r, lang in zip(docs, languages) if lang != "und"), key=str)
 
 
+def test_languages_fill_gaps_and_cost_no_text(frame, spark):
+    said = {"en": "the cat and the dog are here with all of them", "fr": "le chat et les chiens sont ici avec nous tous"}
+    docs = [(i, said[lang], lang if i < 60 else None) for i in range(80) for lang in [("en", "fr")[i % 2]]] + [(99, "12 34", None)]
+    kind = "doc_id long, text string, lang string"
+    found = {r["doc_id"]: r["lang"] for r in pipeline.identified(spark, frame(docs, kind), None).collect()}
+    assert found == {i: ("en", "fr")[i % 2] for i in range(80)}
+    bare = [(i, text, None) for i, text, _ in docs]
+    assert rows(pipeline.identified(spark, frame(bare, kind), None)) == sorted(bare[:-1], key=str)
+
+
 def grams(text):
     words = text.split()
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
