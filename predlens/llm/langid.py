@@ -135,11 +135,22 @@ class ByteCnn:
                     part = table.take(index[:, 2 * j : 2 * j + places], axis=0)
                     total = part if total is None else np.add(total, part, out=total)
                 pooled.append(total.max(axis=1) + self.weights[f"bias{width}"])
-            return softmax(np.maximum(np.concatenate(pooled, axis=1), 0) @ out + bias)
+            return softmax(row_products(np.maximum(np.concatenate(pooled, axis=1), 0), out) + bias)
 
         return score
 
 
+def row_products(rows: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """``rows @ matrix``, each row added up in the same order whatever rows stand beside it.
+
+    The last digits of a matrix product depend on how many rows it has.
+    """
+    total = np.zeros((len(rows), matrix.shape[1]))
+    for column, weights in zip(rows.T, matrix):
+        total += column[:, None] * weights
+    return total
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)

@@ -3,11 +3,12 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from predlens.llm import queries
 from predlens.llm.bpe import Tokenizer, decode_ids, encode_texts
-from predlens.llm.langid import Settings, held_out, identify_languages, train, with_language
+from predlens.llm.langid import ByteCnn, Settings, held_out, identify_languages, predictor, train, with_language
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -124,6 +125,61 @@ def test_language_edge_cases(spark, frame):
     assert identify_languages(unlabelled.limit(0)).count() == 0
 
 
+def test_scores_do_not_depend_on_the_batch(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    predict = predictor(train(docs, Settings(epochs=1, per_language=10)))
+    texts = [f"{'the thing of ' * (i % 40)}und der {i}" for i in range(150)]
+    alone = [[column[0] for column in predict([text])] for text in texts]
+    for first in (0, 1, 7, 64):
+        for step in (1, 3, 50):
+            together = predict(texts[first::step])
+            assert [list(pair) for pair in zip(*together)] == alone[first::step]
+
+
+def test_folded_tables_equal_a_plain_convolution(spark):
+    network = ByteCnn(["a", "b"], Settings(window=20, filters=3, embedding=4))
+    windows = np.random.default_rng(0).integers(0, 256, (5, 20)).astype(np.uint8)
+    w, plain = network.weights, []
+    for window in windows:
+        vectors = [w["embedding"][byte] for byte in window]
+        pooled = []
+        for width in (2, 3, 4):
+            responses = [np.concatenate(vectors[i : i + width]) @ w[f"filter{width}"] + w[f"bias{width}"] for i in range(20 - width + 1)]
+            pooled += [max(0.0, max(r[f] for r in responses)) for f in range(3)]
+        raw = np.array(pooled) @ w["out"] + w["out_bias"]
+        plain.append(np.exp(raw) / np.exp(raw).sum())
+    assert np.allclose(network.scorer()(windows), plain, atol=1e-5)
+
+
+def test_gradient_equals_finite_differences():
+    network = ByteCnn(["a", "b", "c"], Settings(window=12, filters=2, embedding=3))
+    random = np.random.default_rng(1)
+    windows, wanted = random.integers(0, 256, (4, 12)).astype(np.uint8), np.array([0, 2, 1, 1])
+
+    def loss():
+        w, total = network.weights, 0.0
+        for window, label in zip(windows, wanted):
+            vectors, pooled = w["embedding"][window], []
+            for width in (2, 3, 4):
+                responses = np.array([vectors[i : i + width].ravel() @ w[f"filter{width}"] + w[f"bias{width}"] for i in range(12 - width + 1)])
+                pooled.append(np.maximum(responses.max(axis=0), 0))
+            raw = np.concatenate(pooled) @ w["out"] + w["out_bias"]
+            total += np.log(np.exp(raw).sum()) - raw[label]
+        return total / len(windows)
+
+    gradient = network.loss_gradient(windows, wanted)
+    for name, g in gradient.items():
+        flat = network.weights[name].reshape(-1)
+        for i in random.choice(len(flat), min(20, len(flat)), replace=False):
+            held = flat[i]
+            flat[i] = held + 1e-6
+            up = loss()
+            flat[i] = held - 1e-6
+            down = loss()
+            flat[i] = held
+            assert abs((up - down) / 2e-6 - g.reshape(-1)[i]) < 1e-5
+
+
 def test_held_out_rule(frame):
     import zlib
 
