@@ -14,10 +14,13 @@ from predlens.llm.langid import identify_languages
 from predlens.llm.minhash import link_documents
 from predlens.llm.mixing import mix_documents
 from predlens.llm.mtree import top_k
+from predlens.llm.periods import find_runs
 from predlens.llm.pivots import link_vectors
+from predlens.llm.quality import judge_quality
 from predlens.llm.sharding import Tree, shard_documents
 from predlens.llm.substrings import dedup_substrings
 from predlens.llm.urls import judge_urls, sql_judged
+from predlens.llm.whitening import whiten
 from predlens.llm.wrappers import extract_main_text
 from predlens.sources.tables import parquet_table
 
@@ -89,11 +92,61 @@ def op10_wrapper_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract_main_text(parquet_table(spark, folder, "pages"))
 
 
+def op11_multiplicity_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows, whitening, error = whiten(parquet_table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    shares = whitening.explained().tolist() if whitening else []
+    explained = F.array(*map(F.lit, shares)).cast("array<double>")
+    each = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    return each.select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        F.lit(whitening.n if whitening else 0).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("place")).alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): one document in ten, by the checksum of its id, repeats a stretch of its words to the end."""
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    with_words = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    placed = with_words.withColumn("a", (g % F.greatest(n, F.lit(1))).cast("int"))
+    stretched = placed.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    again = F.transform("w", lambda word, i: F.when(i < F.col("a"), word).otherwise(F.get("w", F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return stretched.select("doc_id", F.when(n > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_recompression_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_runs(planted_runs(parquet_table(spark, folder, "documents")))
+    # Quotients of lengths below 2**26 are equal or differ as doubles, so the greatest is found exactly.
+    strongest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"] / r["period"]).alias("strength"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    best = found.withColumn("best", strongest)
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_ftrl_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_quality(parquet_table(spark, folder, "documents"), parquet_table(spark, folder, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_hash_tree_shards, op2_pivot_permutation, op3_mtree_top_k, op4_byte_cnn_language, op5_url_templates, op6_minhash_jaccard, op7_streaming_bpe,
-        op8_fair_queue_mix, op9_chunk_dedup, op10_wrapper_text,
+        op8_fair_queue_mix, op9_chunk_dedup, op10_wrapper_text, op11_multiplicity_whitening, op12_recompression_runs, op13_ftrl_quality,
     )
 }
 

@@ -38,6 +38,11 @@ def word_hashes(text: str) -> np.ndarray:
         return np.zeros(0, np.uint64)
     edges = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    return segment_hashes(data, starts, ends)
+
+
+def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes from each start to its end."""
     powers, inverses = _grown(len(data) + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], dtype=np.uint64)])
     return mixed((sums[ends] - sums[starts]) * inverses[starts])
