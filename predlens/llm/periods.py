@@ -37,10 +37,12 @@ def runs_of(texts: list[np.ndarray], least: int = LEAST, times: int = TIMES) ->
     words = _joined([texts[i] for i in order])
     place, period = _candidates(words, sizes, starts, least, times)
     found = [np.zeros((0, 3), np.int64) for _ in texts]
+    owner = np.searchsorted(starts, place, side="right") - 1
+    inside = place + period < starts[owner] + sizes[owner]  # the word one period on stands in the same text
+    place, period, owner = place[inside], period[inside], owner[inside]
     if not len(place):
         return found
     # Only texts with a candidate go into the grammar, as the others have no run.
-    owner = np.searchsorted(starts, place, side="right") - 1
     asked = np.unique(owner)
     part_starts = np.concatenate([[0], np.cumsum(sizes[asked] + 1)])[:-1] + 1
     grammar = Grammar(_joined([texts[order[k]] for k in asked]), shortest=len(asked))

@@ -131,6 +131,17 @@ def test_runs(least, times):
                 assert list(map(tuple, found.tolist())) == runs_by_hand(text, least, times)
 
 
+def test_runs_of_neighbouring_texts():
+    """Words that agree across the border of two texts make no run, nor do they disturb others."""
+    random = np.random.default_rng(9)
+    common = random.integers(0, 1000, 40)
+    texts = [np.concatenate([common[:12], random.integers(0, 1000, 80 + k), common[:12]]) for k in range(40)]
+    texts += [np.concatenate([common, np.tile([5, 6, 7], 20)]), np.tile(common[:9], 5)]
+    for order in (texts, texts[::-1], texts[1::2] + texts[::2], texts[:40]):
+        for text, found in zip(order, runs_of(order)):
+            assert list(map(tuple, found.tolist())) == runs_by_hand(text)
+
+
 def test_grammar_shrinks():
     words = np.random.default_rng(5).integers(0, 1000, 100_000)
     grammar = Grammar(np.concatenate([[1000], words, [1001]]))
