@@ -101,6 +101,28 @@ def test_boxes(rows, pieces):
         assert np.allclose([halves[c][n] for n in ("q1", "median", "q3")], exclusive(values))
 
 
+def test_boxes_of_ties_and_narrow_brackets(spark, monkeypatch):
+    """Brackets that hold too many rows are sketched again; a frequent value does not keep that going."""
+    monkeypatch.setattr(P, "INSIDE", 20)
+    random = np.random.default_rng(1)
+    values = {"ties": [5.0] * 700 + [1.0, 9.0], "spread": random.normal(size=2000).tolist(), "mixed": [0.0] * 400 + random.normal(size=900).tolist()}
+    df = spark.createDataFrame([(c, v) for c, many in values.items() for v in many] + [("ties", float("nan")), ("void", None)], "c string, v double").repartition(3)
+    halves = {r["c"]: r for r in P.box_exclusive(df, "v", "c", pieces=10).collect()}
+    assert set(halves) == set(values)
+    for c, many in values.items():
+        assert np.allclose([halves[c][n] for n in ("q1", "median", "q3")], exclusive(many))
+
+
+def test_quartiles_shuffle_few_rows(spark):
+    """What the second pass counts by value is a small share of the rows."""
+    df = spark.range(60_000).select(F.lit("a").alias("c"), F.hash("id").cast("double").alias("_v"))
+    sketch = df.groupBy("c").agg(F.count("_v").alias("n"), P._shares(P.PIECES))
+    wanted = sketch.select("c", "n", "_shares", F.lit("q1").alias("_name"), ((F.col("n") - 1) * 0.25).alias("_p"))
+    bracket = P._bracketed(wanted, "c", F.col("_p"), P.PIECES).first()
+    inside = df.filter(F.col("_v").between(bracket["_lo"], bracket["_hi"])).count()
+    assert 0 < inside < 0.01 * 60_000
+
+
 def test_tiny_classes(spark):
     df = spark.createDataFrame([("one", 4.0), ("two", 1.0), ("two", 3.0), ("none", None), (None, 1.0)], "c string, v double")
     halves = {r["c"]: (r["q1"], r["median"], r["q3"]) for r in P.box_exclusive(df, "v", "c").collect()}
