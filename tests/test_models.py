@@ -168,7 +168,7 @@ def test_three_classes_in_the_suite(spark):
     scores = compare(train, test, {"all": ["a", "b", "c"]}, label="label", key="id", models=models).collect()
     assert {r["model"] for r in scores} == set(models)
     assert all(r["accuracy"] > 0.5 for r in scores)
-    assert len(classifier_suite(3, 2, 10, "id")) == 10
+    assert len(classifier_suite("id")) == 10
 
 
 def test_standardize(spark):
