@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["batting", "games", "statistics", "profiles", "models"]
+FAMILIES = ["batting", "games", "statistics", "profiles", "models", "machines"]
 
 
 def all_queries():

@@ -294,7 +294,7 @@ def q_logit_z(spark, folder):
     ),
 )
 def q_logit_zp(spark, folder):
-    return fixed(logistic_tests(px(spark, folder), LOGIT_PREDICTORS, "y"), 6, "p_value")
+    return fixed(logistic_tests(px(spark, folder), LOGIT_PREDICTORS, "y").drop("status"), 6, "p_value")
 
 
 # --- difference with the mean of the response ---
@@ -486,12 +486,23 @@ def q_rank_table(spark, folder):
     return _ranking(spark, folder, [*RANKED_CONT, *RANKED_CAT])
 
 
-REPORTED_CONT, REPORTED_CAT = ["p_size", "p_retailprice", "z"], ["hl", "q4", "p_brand"]
+# The forest's part: shares of the continuous predictors, of which the price alone says nothing on the response.
+_IMPORTANCE_SQL = """CASE WHEN kind = 'continuous' THEN CAST(1 AS DOUBLE) END AS shares,
+    CASE WHEN kind = 'continuous' THEN predictor <> 'p_retailprice' END AS above_price"""
 
 
-@query("rank_report", _ranking_sql(REPORTED_CONT, REPORTED_CAT))
+@query("rank_report", f"SELECT *, {_IMPORTANCE_SQL} FROM ({_ranking_sql(RANKED_CONT, RANKED_CAT)})")
 def q_rank_report(spark, folder):
-    return _ranking(spark, folder, [*REPORTED_CONT, *REPORTED_CAT])
+    """The whole ranking: the importances add up to 1, and every other predictor's is above twice the price's."""
+    ranking = predictor_report(px(spark, folder), [*RANKED_CONT, *RANKED_CAT], "y").sections["ranking"]
+    price = F.max(F.when(F.col("predictor") == "p_retailprice", F.col("importance")))
+    totals = ranking.agg(F.sum("importance").alias("_total"), price.alias("_price"))
+    both = ranking.crossJoin(F.broadcast(totals))  # one row
+    shown = both.withColumns({
+        "shares": F.when(F.col("importance").isNotNull(), F.col("_total")),
+        "above_price": F.col("importance") > 2 * F.col("_price"),
+    })
+    return fixed(fixed(shown.drop("importance", "_total", "_price"), 7, "msd", "wmsd"), 6, "p_value", "shares")
 
 
 @query(

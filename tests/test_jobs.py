@@ -103,6 +103,26 @@ def test_tables_replaced_and_kept(spark):
     kept.unpersist()
 
 
+def test_failed_writes_leave_tables_alone(spark, tmp_path):
+    broken = spark.range(3).select(F.raise_error(F.lit("broken")).cast("bigint").alias("id"))
+    for path in (None, str(tmp_path / "t")):
+        name = "t_safe" if path is None else "t_safe_path"
+        sinks.create_or_replace(spark.range(4), name, path)
+        with pytest.raises(Exception, match="broken"):
+            sinks.create_or_replace(broken, name, path)
+        assert spark.table(name).count() == 4
+        # The frame may read the table it replaces, with the same columns or others.
+        assert sinks.create_or_replace(spark.table(name).filter("id > 0"), name, path).count() == 3
+        other = spark.table(name).select(F.col("id").cast("string").alias("text"))
+        assert [r["text"] for r in sinks.create_or_replace(other, name, path).orderBy("text").collect()] == ["1", "2", "3"]
+    assert len(list((tmp_path / "t").iterdir())) == 1  # versions before are removed
+    with pytest.raises(Exception, match="broken"):
+        sinks.create_if_absent(broken, "t_never")
+    assert not spark.catalog.tableExists("t_never")
+    spark.range(2).write.mode("overwrite").saveAsTable("t_managed")
+    assert sinks.create_or_replace(spark.table("t_managed").filter("id = 1"), "t_managed").count() == 1
+
+
 def test_sql_over_views(spark):
     assert tables.sql_frame(spark, "SELECT count(*) AS n FROM v_three", {"v_three": spark.range(3)}).first()["n"] == 3
 

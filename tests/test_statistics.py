@@ -356,3 +356,27 @@ def test_constant_predictor_and_many_columns(spark):
     alone = Effects.of(df, "y", ["n3", "n7"], []).paired().first()
     together = effects.paired().filter("p1 = 'n3' AND p2 = 'n7'").first()
     assert (alone["msd"], alone["wmsd"]) == (together["msd"], together["wmsd"])
+
+
+def test_logistic_status(spark):
+    """Predictors without a test have a reason, and do not hinder the others."""
+    random = np.random.default_rng(4)
+    rows = []
+    for i in range(400):
+        y = int(random.random() < 0.4)
+        x = random.normal() + y
+        far = 1e6 if i == 0 else x  # a far value makes the plain step overshoot
+        rows.append((float(y), x, 5.0, y * 2.0, y * 1.0 if i else 0.5, far, None if y else 1.0))
+    df = spark.createDataFrame(rows, "y double, plain double, same double, apart double, touching double, far double, lone double")
+    found = {r["predictor"]: r for r in logistic_tests(df, ["plain", "same", "apart", "touching", "far", "lone"], "y").collect()}
+    assert {k: r["status"] for k, r in found.items()} == {
+        "plain": "ok", "same": "constant", "apart": "separated", "touching": "separated", "far": "ok", "lone": "one class",
+    }
+    assert all((r["t_value"] is None) == (r["p_value"] is None) == (r["status"] != "ok") for r in found.values())
+    # The damped fit is the maximum: no place nearby is likelier.
+    x = np.array([r[5] for r in rows])
+    y = np.array([r[0] for r in rows])
+    z = (x - x.mean()) / x.std()
+    loss = lambda a, b: (np.logaddexp(0, a + b * z) - y * (a + b * z)).sum()
+    grid = [(loss(a, b), b) for a in np.linspace(-1, 0.5, 31) for b in np.linspace(-60, 60, 121)]
+    assert np.sign(min(grid)[1]) == np.sign(found["far"]["t_value"])
