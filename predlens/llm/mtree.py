@@ -25,7 +25,7 @@ from predlens.session import durable
 
 PAGE = (
     "block long, kind int, place long, root binary, routing binary, parent_distance double, radius double, "
-    "largest double, ids binary, vectors binary, distances binary, query_id long"
+    "largest double, ids binary, rows binary, vectors binary, distances binary, query_id long, query_row long"
 )
 EXACT = 2.0**45  # products below this are exact as doubles and leave room for an object's place
 
@@ -63,9 +63,13 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def pages_of(ids: np.ndarray, vectors: np.ndarray, tree: MTree) -> Iterator[dict]:
-    """The leaf pages of one block. Objects go to the nearest routing object; full pages are split by distance to it."""
+def pages_of(ids: np.ndarray, vectors: np.ndarray, tree: MTree, rows: np.ndarray | None = None) -> Iterator[dict]:
+    """The leaf pages of one block. Objects go to the nearest routing object; full pages are split by distance to it.
+
+    ``rows`` tells objects apart; without them their ids do.
+    """
     root = vectors[0]
+    rows = ids if rows is None else rows
     count = -(-len(vectors) // tree.page)
     routing = vectors[np.linspace(0, len(vectors) - 1, count).astype(int)]
     apart = distances(vectors, routing)
@@ -79,24 +83,21 @@ def pages_of(ids: np.ndarray, vectors: np.ndarray, tree: MTree) -> Iterator[dict
             yield {
                 "root": root, "routing": routing[j], "parent_distance": float(parents[j]),
                 "radius": float(apart[part, j].max()), "largest": float((vectors[part] ** 2).sum(1).max()),
-                "ids": ids[part], "vectors": vectors[part], "distances": apart[part, j],
+                "ids": ids[part], "rows": rows[part], "vectors": vectors[part], "distances": apart[part, j],
             }
 
 
 def _loaded(tree: MTree, scale: int, dimension: int):
     def loaded(rows: pd.DataFrame) -> pd.DataFrame:
         vectors = padded([quantised(v, scale) for v in rows["embedding"]], dimension)
-        ids, block = rows["vec_id"].to_numpy(np.int64), rows["block"].iloc[0]
-        order = np.lexsort([*vectors.T[::-1], ids])
-        ids, vectors = ids[order], vectors[order]
-        first = np.concatenate([[True], ids[1:] != ids[:-1]])
-        ids, vectors = ids[first], vectors[first]
-        shuffled = np.random.default_rng(int(block)).permutation(len(ids))
+        ids, numbers, block = rows["vec_id"].to_numpy(np.int64), rows["row"].to_numpy(np.int64), rows["block"].iloc[0]
+        order = np.argsort(numbers)
+        shuffled = order[np.random.default_rng(int(block)).permutation(len(ids))]
         found = []
-        for place, page in enumerate(pages_of(ids[shuffled], vectors[shuffled], tree)):
+        for place, page in enumerate(pages_of(ids[shuffled], vectors[shuffled], tree, numbers[shuffled])):
             packed = {k: v.tobytes() if isinstance(v, np.ndarray) else v for k, v in page.items()}
-            found.append({"block": block, "kind": 0, "place": place, **packed, "query_id": None})
-        return pd.DataFrame(found).astype({"query_id": "Int64"})
+            found.append({"block": block, "kind": 0, "place": place, **packed, "query_id": None, "query_row": None})
+        return pd.DataFrame(found).astype({"query_id": "Int64", "query_row": "Int64"})
 
     return loaded
 
@@ -113,13 +114,15 @@ class Search:
         self.parents = pages["parent_distance"].to_numpy(float)
         self.radius = pages["radius"].to_numpy(float)
         self.largest = pages["largest"].to_numpy(float)
-        self.ids = [np.frombuffer(row, np.int64) for row in pages["ids"]]
+        ids = [np.frombuffer(row, np.int64) for row in pages["ids"]]
+        self.objects = [np.frombuffer(row, np.int64) for row in pages["rows"]]
         self.vectors = [np.frombuffer(row).reshape(-1, dimension) for row in pages["vectors"]]
         self.distances = [np.frombuffer(row) for row in pages["distances"]]
-        everything = np.concatenate(self.ids)
-        self.by_id = np.sort(everything)
-        self.size = len(everything)
-        self.places = [np.searchsorted(self.by_id, ids) for ids in self.ids]
+        everything = np.concatenate(ids)
+        order = np.lexsort([np.concatenate(self.objects), everything])
+        self.by_id, self.size, places = everything[order], len(order), np.empty(len(order), np.int64)
+        places[order] = np.arange(len(order))
+        self.places = np.split(places, np.cumsum([len(i) for i in ids])[:-1])
         self.exact = max(np.abs(v).max(initial=0) for v in self.vectors) * np.sqrt(dimension)
 
     def _keys(self, queries: np.ndarray, page: int, part: slice) -> np.ndarray:
@@ -133,7 +136,7 @@ class Search:
         return scores * self.size + (self.size - 1 - places)[None]
 
     def best(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[list[int]]:
-        """Per query the keys of its ``k`` best objects other than itself, largest first."""
+        """Per query the keys of its ``k`` best objects other than itself, the row ``own``, largest first."""
         found: list[list[int]] = [[] for _ in own]
         norms = (queries**2).sum(1)
         to_root = distances(queries, self.root[None])[:, 0]
@@ -169,7 +172,7 @@ class Search:
         if part.start >= part.stop:
             return
         keys = self._keys(queries[rows], page, part)
-        itself = self.ids[page][part][None] == own[rows][:, None]
+        itself = self.objects[page][part][None] == own[rows][:, None]
         for i, row in enumerate(rows):
             held = found[row]
             mine = keys[i][~itself[i]]
@@ -184,16 +187,16 @@ class Search:
             if len(held) == k:
                 least[row] = held[-1] // self.size
 
-    def rows(self, own: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
+    def rows(self, query_ids: np.ndarray, own: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
         found = self.best(own, queries, k)
-        owners = np.repeat(own, [len(keys) for keys in found])
+        many = [len(keys) for keys in found]
         scores, ids = [], []
         for keys in found:
             for key in keys:
                 score, place = divmod(key, self.size)
                 scores.append(min(max(score, -(2**63)), 2**63 - 1))
                 ids.append(self.by_id[self.size - 1 - place])
-        return pd.DataFrame({"query_id": owners, "vec_id": np.array(ids, np.int64), "score": np.array(scores, np.int64)})
+        return pd.DataFrame({"query_id": np.repeat(query_ids, many), "query_row": np.repeat(own, many), "vec_id": np.array(ids, np.int64), "score": np.array(scores, np.int64)})
 
 
 def _searched(tree: MTree, k: int, dimension: int):
@@ -214,36 +217,38 @@ def _searched(tree: MTree, k: int, dimension: int):
                 for start in range(0, len(queries), tree.batch):
                     part = queries.iloc[start : start + tree.batch]
                     vectors = np.stack([np.frombuffer(row) for row in part["vectors"]])
-                    yield search.rows(part["query_id"].to_numpy(np.int64), vectors, k)
+                    yield search.rows(part["query_id"].to_numpy(np.int64), part["query_row"].to_numpy(np.int64), vectors, k)
 
     return searched
 
 
 def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, tree: MTree = MTree()) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each vec_id divisible by ``every`` its ``k`` best others.
+    """(query_id, rank, vec_id, score): for each row with a vec_id divisible by ``every`` its ``k`` best other rows.
 
     Scores are inner products of the components' floor(``scale`` * x), ties go to the smaller
     vec_id; fewer than ``k`` others give fewer rows. Vectors that are NULL or hold NULL or
-    non-finite components, and rows without vec_id, take no part. Of rows that repeat a vec_id the
-    smallest vector counts. Shorter vectors are filled up with zeros. A score beyond 64 bits is
-    the nearest number that fits. Reads vec_id and embedding.
+    non-finite components, and rows without vec_id, take no part. Rows that repeat a vec_id are rows
+    like any other: each is a candidate for the others, and a query of its own where it is one.
+    Shorter vectors are filled up with zeros. A score beyond 64 bits is the nearest number that
+    fits. Reads vec_id and embedding.
     """
     sound = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & finite())
-    sizes = sound.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    # Written down with their numbers, so that a row has the same one as object and as query.
+    numbered = durable(sound.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    sizes = numbered.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
     dimension, blocks = max(1, sizes["d"] or 1), max(1, -(-sizes["n"] // tree.block))
-    dealt = sound.dropDuplicates().withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    dealt = numbered.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
     index = durable(dealt.groupBy("block").applyInPandas(_loaded(tree, scale, dimension), PAGE), "mtree")
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = padded([quantised(v, scale) for v in batch["embedding"]], dimension)
-            yield pd.DataFrame({"query_id": batch["vec_id"], "vectors": [row.tobytes() for row in rows]})
+            yield pd.DataFrame({"query_id": batch["vec_id"], "query_row": batch["row"], "vectors": [row.tobytes() for row in rows]})
 
-    chosen = sound.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    queries = chosen.mapInPandas(asked, "query_id long, vectors binary")
+    queries = numbered.where(F.col("vec_id") % every == 0).mapInPandas(asked, "query_id long, query_row long, vectors binary")
     sent = queries.withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))), "kind": F.lit(1)})
-    stream = index.unionByName(sent.withColumn("place", F.col("query_id")), allowMissingColumns=True)
+    stream = index.unionByName(sent.withColumn("place", F.col("query_row")), allowMissingColumns=True)
     placed = stream.repartition(blocks, "block").sortWithinPartitions("block", "kind", "place")
-    found = in_small_batches(placed).mapInPandas(_searched(tree, k, dimension), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = in_small_batches(placed).mapInPandas(_searched(tree, k, dimension), "query_id long, query_row long, vec_id long, score long")
+    best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -339,7 +339,29 @@ def test_top_k_edge_cases(frame):
     nan = float("nan")
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [1.5, 2.0]), (20, None), (40, [nan, 1.0]), (60, [None, 1.0]), (80, []), (None, [9.0, 9.0]), (1, [1.0])]
     table = frame(rows, "vec_id long, embedding array<float>")
-    found = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in top_k(table).collect()}
-    assert found == {(0, 1): (1, 4096), (0, 2): (80, 0), (80, 1): (0, 0), (80, 2): (1, 0)}
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in top_k(table).collect())
+    # Each of the three rows of id 0 is a query, and a candidate for the other two.
+    equal = [(0, 1, 0, 22528), (0, 2, 0, 20480), (0, 3, 1, 4096), (0, 4, 80, 0)]
+    other = [(0, 1, 0, 22528), (0, 2, 0, 22528), (0, 3, 1, 6144), (0, 4, 80, 0)]
+    empty = [(80, 1, 0, 0), (80, 2, 0, 0), (80, 3, 0, 0), (80, 4, 1, 0)]
+    assert found == sorted(equal + equal + other + empty)
     assert top_k(table.limit(0)).count() == 0
-    assert top_k(table.where("vec_id = 0")).count() == 0
+    assert {(r["rank"], r["vec_id"]) for r in top_k(table.where("vec_id = 0")).collect()} == {(1, 0), (2, 0)}
+
+
+def test_top_k_of_repeated_ids_equals_the_sql(spark, frame, tmp_path):
+    import duckdb
+    from oracle import compare
+
+    from predlens.llm.checks import TOP_K_SQL
+
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.integers(0, 60)), rng.normal(size=4).tolist()) for _ in range(300)]
+    rows += [(30, [100.0, 0.0, 0.0, 0.0]), (30, [-5.0, 2.0, 0.0, 0.0]), (20, [1.0, 0.0, 0.0, 0.0])] + [(40, [1.0, 1.0, 1.0, 1.0])] * 30
+    table = frame(rows, "vec_id long, embedding array<float>")
+    table.write.parquet(str(tmp_path / "embeddings"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings/*.parquet'")
+    for block in (64, 16384):
+        equal, message = compare(top_k(table, tree=MTree(block=block, page=16)), connection, TOP_K_SQL)
+        assert equal, message
