@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,6 +39,7 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"},
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 IN_PARAGRAPH = BLOCKS - {"html", "body", "li", "dt", "dd", "tr", "tbody", "thead", "tfoot", "caption", "figcaption", "summary"}
 
+ARTICLES = ("article", "main")
 OUTSIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "search", "fieldset"}
 NAMED = {"div", "section", "ul", "ol", "dl", "p", "table", "details", "article", "li", "figure", "header", "main", "blockquote"}
 BOILERPLATE = set(
@@ -46,7 +48,7 @@ BOILERPLATE = set(
     "promotion recommended related replies respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 CONTENT = set("article content entry main post story".split())
-DEEPEST = 60  # deeper elements still separate blocks, without a level of their own
+DEEPEST = 60  # deeper elements get no node in the tree; the path to a block still names those that say what they hold
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)"
@@ -181,8 +183,10 @@ class Page:
         self.with_tree = with_tree
         self.blocks: list[tuple[tuple[str, ...], str]] = []
         self.root = Node("page")
-        self.open: list[Node] = [self.root]
+        self.open: list[Node] = [self.root]  # of every open element the node that gathers its content
         self.tags: list[str] = ["page"]
+        self.many: Counter[str] = Counter()  # open elements by tag
+        self.ways: list[int] = [0]  # length of the path before every open element
         self.path: tuple[str, ...] = ()
         self.pending: list[str] = []
         self.silent: list[str] = []
@@ -245,22 +249,34 @@ class Page:
         if tag not in BLOCKS or self.silent:
             return
         self._flush()
-        if tag in IN_PARAGRAPH and "p" in self.tags:
-            self._close_to(len(self.tags) - 1 - self.tags[::-1].index("p"))
-        for level in range(len(self.tags) - 1, 0, -1):
-            if self.tags[level] in CLOSED_BY.get(tag, ()):
-                self._close_to(level)
-                break
-            if self.tags[level] in STOPS.get(tag, ()):
-                break
-        if tag in VOID or tag in ("html", "body") or len(self.open) > DEEPEST:
+        if tag in IN_PARAGRAPH and self.many["p"]:
+            self._close_to(self._level("p"))
+        if tag in CLOSED_BY:
+            for level in range(len(self.tags) - 1, 0, -1):
+                if self.tags[level] in CLOSED_BY[tag]:
+                    self._close_to(level)
+                    break
+                if self.tags[level] in STOPS.get(tag, ()):
+                    break
+        if tag in VOID or tag in ("html", "body"):
             return
-        node = Node(role(tag, attributes))
-        if self.with_tree:
+        symbol, deep = role(tag, attributes), len(self.open) > DEEPEST
+        node = self.open[-1] if deep else Node(symbol)
+        if self.with_tree and not deep:
             self.open[-1].children.append(node)
         self.open.append(node)
         self.tags.append(tag)
-        self.path = (*self.path, node.symbol)
+        self.many[tag] += 1
+        self.ways.append(len(self.path))
+        if not deep or outside((*self.path, symbol)) != outside(self.path) or (tag in ARTICLES and not in_article(self.path)):
+            self.path = (*self.path, symbol)
+
+    def _level(self, tag: str) -> int:
+        """Where the innermost open element of a tag stands."""
+        level = len(self.tags) - 1
+        while self.tags[level] != tag:
+            level -= 1
+        return level
 
     def _end(self, tag: str) -> None:
         if tag in self.silent:
@@ -271,17 +287,21 @@ class Page:
         if tag not in BLOCKS or self.silent:
             return
         self._flush()
-        if tag in self.tags:
-            self._close_to(len(self.tags) - 1 - self.tags[::-1].index(tag))
+        if self.many[tag]:
+            self._close_to(self._level(tag))
 
     def _close_to(self, level: int) -> None:
         self._flush()
         while len(self.open) > level:
-            node = self.open.pop()
-            if len(node.children) > 1:
+            node, way = self.open.pop(), self.ways.pop()
+            if node is not self.open[-1] and len(node.children) > 1:
                 node.children = folded(node.children)
-            self.tags.pop()
-        self.path = self.path[: level - 1]
+            self.many[self.tags.pop()] -= 1
+            self.path = self.path[:way]
+
+
+def in_article(path: tuple[str, ...]) -> bool:
+    return any(symbol.partition(".")[0] in ARTICLES for symbol in path)
 
 
 def outside(path: tuple[str, ...]) -> bool:

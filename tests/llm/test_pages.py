@@ -107,6 +107,20 @@ def reference(source):
     return "\n".join(t for t in texts if t)
 
 
+@pytest.mark.parametrize("depth", [1, 59, 60, 61, 70, 3000])
+def test_elements_of_any_depth(frame, depth):
+    """What stands below many elements is text or menu like anything else, and the elements around it still end."""
+    deep = "<div>" * depth
+    pages = [
+        f"<div><article><p>before</p>{deep}<p>after</p></article><p>last</p></div>",
+        f"<article><p>text</p>{deep}<nav><p>menu</p></nav><aside>side</aside><div class=\"sidebar\">bar</div><p>more</p>{'</div>' * depth}<p>end</p></article>",
+        f"{deep}<article><header>head of it</header><p>inner</p></article>{'</div>' * depth}",
+    ]
+    df = frame([(i, f"http://h{i}.org/a", page) for i, page in enumerate(pages)], "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in extract_main_text(df).collect()}
+    assert found == {0: "before\nafter", 1: "text\nmore\nend", 2: "head of it\ninner"}
+
+
 def test_query_on_given_pages(spark, data):
     source = {r["page_id"]: r for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
     found = queries.op10_wrapper_text(spark, data).collect()
