@@ -7,6 +7,8 @@ from predlens.catalogue.registry import fixed, query, sql_fixed, table
 from predlens.operators.ratios import RatioColumns, annual_ratio, historic_ratio, rolling_ratio
 from predlens.operators.windows import trailing_row_means
 from predlens.streaming.buckets import tumbling
+from predlens.session import scratch_folder
+from predlens.streaming.trailing import trailing_ratio_stream
 from predlens.transformers import TrailingRatio
 
 COLUMNS = RatioColumns(key="o_custkey", game="game_id", date="local_date", num="hit", den="at_bat")
@@ -84,6 +86,28 @@ def q_rolling_transformer(spark, folder):
     return Pipeline(stages=[stage]).fit(rows).transform(rows)
 
 
+@query("rolling_stream", f"""{LINES_SQL},
+daily AS (SELECT o_custkey, local_date AS day, SUM(hit) AS hit, SUM(at_bat) AS at_bat FROM lines GROUP BY ALL)
+SELECT o_custkey, day, CAST(SUM(hit) OVER w AS DOUBLE) AS hit, CAST(SUM(at_bat) OVER w AS DOUBLE) AS at_bat,
+       {sql_fixed("SUM(hit) OVER w / NULLIF(SUM(at_bat) OVER w, 0)", 3)} AS ratio
+FROM daily WINDOW w AS (PARTITION BY o_custkey ORDER BY day RANGE BETWEEN INTERVAL 100 DAY PRECEDING AND CURRENT ROW)""")
+def q_rolling_stream(spark, folder):
+    """The lines come as a stream of three batches in no order of time; the last word on each (key, day) is the batch result."""
+    facts = line_facts(spark, folder).join(order_games(spark, folder), "game_id")
+    rows = facts.select("o_custkey", F.col("local_date").cast("date").alias("local_date"), "hit", "at_bat")
+    place, told = scratch_folder(spark, "stream"), scratch_folder(spark, "told")
+    for part in range(3):
+        rows.filter(F.pmod(F.xxhash64("o_custkey", "local_date", "hit"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(place)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(place)
+    ratios = trailing_ratio_stream(stream, key="o_custkey", date="local_date", num="hit", den="at_bat", out="ratio")
+    # A batch that is run again after a failure writes the same rows to the same place.
+    write = lambda batch, number: batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{told}/batch={number}")
+    running = ratios.writeStream.outputMode("update").option("checkpointLocation", scratch_folder(spark, "state")).trigger(availableNow=True).foreachBatch(write).start()
+    running.awaitTermination()
+    last = F.max(F.struct("_batch", "hit", "at_bat", "ratio")).alias("last")
+    return spark.read.parquet(told).groupBy("o_custkey", "day").agg(last).select("o_custkey", "day", "last.hit", "last.at_bat", "last.ratio")
+
+
 @query("tumbling_day", """
 SELECT date_trunc('day', ts) AS bucket_start, COUNT(*) AS events, COUNT(DISTINCT user_id) AS users
 FROM events GROUP BY ALL""")

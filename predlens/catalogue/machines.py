@@ -3,6 +3,7 @@
 from functools import reduce
 
 from pyspark.ml import Pipeline
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from predlens.catalogue.parts import PX_SQL, px
 from predlens.catalogue.registry import fixed, query, sql_fixed, table
+from predlens.catalogue.statistics import _STEPS, _newton_sql
 from predlens.models.boosting import AdaBoost
 from predlens.models.hinge import HingeMachine
 from predlens.models.nystrom import NystromKernel
@@ -52,6 +54,25 @@ def q_ada_stumps(spark, folder):
     return fixed(spark.createDataFrame(found, "round int, feature int, cut double, below int, above int, vote double"), 6, "vote")
 
 
+@query("tree_predict", f"""{PX_SQL}, w0 AS (SELECT *, CAST(1 AS DOUBLE) AS w FROM px),{_stump_sql(0)}
+SELECT p_partkey, CAST(CASE WHEN (CASE f WHEN 0 THEN p_size WHEN 1 THEN z ELSE p_retailprice END) < cut THEN below ELSE above END AS DOUBLE) AS prediction
+FROM px, s0""")
+def q_tree_predict(spark, folder):
+    """A tree of one split over the features of few values is boosting's first stump."""
+    rows = VectorAssembler(inputCols=["p_size", "z"], outputCol="features").transform(px(spark, folder))
+    tree = DecisionTreeClassifier(labelCol="y", maxDepth=1, maxBins=1024).fit(rows)
+    return tree.transform(rows).select("p_partkey", "prediction")
+
+
+@query("logit_predict", f"""{PX_SQL}, {_newton_sql("p_size")}
+SELECT p_partkey, CAST(a + b * (p_size - m) / s > 0 AS DOUBLE) AS prediction
+FROM px, p_size_{_STEPS}, (SELECT AVG(p_size) AS m, STDDEV_POP(p_size) AS s FROM px)""")
+def q_logit_predict(spark, folder):
+    rows = VectorAssembler(inputCols=["p_size"], outputCol="features").transform(px(spark, folder))
+    model = LogisticRegression(labelCol="y", maxIter=100, tol=1e-10).fit(rows)
+    return model.transform(rows).select("p_partkey", "prediction")
+
+
 EVENT_MEASURES = ["value", "user_id"]
 COST = 0.025
 

@@ -162,7 +162,7 @@ def _hits_sql(model, scores):
 
 @query("training_scores", f"""
 WITH coded AS (SELECT event_id, DENSE_RANK() OVER (ORDER BY event_type) - 1 AS code, value AS a, CAST(user_id AS DOUBLE) AS b
-               FROM events WHERE event_type IN ('click', 'purchase', 'signup')),
+               FROM events),
 classes AS (SELECT code AS c, LN(COUNT(*) / SUM(COUNT(*)) OVER ()) AS prior, AVG(a) AS ma, AVG(b) AS mb, VAR_POP(a) AS va, VAR_POP(b) AS vb,
                    VAR_SAMP(a) AS aa, COVAR_SAMP(a, b) AS ab, VAR_SAMP(b) AS bb FROM coded GROUP BY code),
 scored AS (SELECT event_id, code, c, prior - 0.5 * (LN(va) + LN(vb) + (a - ma) ** 2 / va + (b - mb) ** 2 / vb) AS independent,
@@ -170,6 +170,5 @@ scored AS (SELECT event_id, code, c, prior - 0.5 * (LN(va) + LN(vb) + (a - ma) *
                   / (aa * bb - ab * ab) AS joint FROM coded, classes)
 {_hits_sql("naive_bayes", "independent")} UNION ALL {_hits_sql("quadratic_discriminant", "joint")}""")
 def q_training_scores(spark, folder):
-    events = table(spark, folder, "events").where("event_type IN ('click', 'purchase', 'signup')")
-    scores = training_scores(events, list(_TRAINED), "event_type", "event_id", models=["naive_bayes", "quadratic_discriminant"])
+    scores = training_scores(table(spark, folder, "events"), list(_TRAINED), "event_type", "event_id", models=["naive_bayes", "quadratic_discriminant"])
     return fixed(scores, 6, "accuracy")

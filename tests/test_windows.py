@@ -3,12 +3,14 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from predlens.operators.ratios import RatioColumns, annual_ratio, historic_ratio, rolling_ratio
 from predlens.operators.windows import trailing_row_means, with_trailing_ratio
+from predlens.streaming.trailing import _changed_days, trailing_ratio_stream
 from predlens.transformers import TrailingRatio
 
 DAY = dt.date(2020, 6, 1)
@@ -161,3 +163,40 @@ def test_no_window_by_key_alone(games_of_teams):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window" in line and "avg" in line]
     assert windows and all("_chunk" in line for line in windows)
+
+
+def test_trailing_ratio_on_a_stream(spark, tmp_path):
+    """Whatever comes late, the last word on each day is what a batch over all rows says."""
+    chance = random.Random(5)
+    rows = [(chance.choice([1, 1, 1, 2, 3, None]), chance.randrange(400), chance.randrange(2), 1) for _ in range(900)]
+    rows += [(4, None, 1, 1), (5, 3, 0, 0)]
+    df = spark.createDataFrame(
+        [(k, None if d is None else DAY + dt.timedelta(days=d), n, m) for k, d, n, m in rows], "batter int, local_date date, Hit int, atBat int"
+    )
+    for i, part in enumerate(df.randomSplit([1.0] * 4, 3)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    said = {}
+
+    def take(batch, _):
+        said.update({(r["batter"], r["day"]): r["r"] for r in batch.collect()})
+
+    ratios = trailing_ratio_stream(stream, key="batter", date="local_date", num="Hit", den="atBat", out="r", days=50)
+    running = ratios.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(take).start()
+    running.awaitTermination()
+    batch = with_trailing_ratio(df, key="batter", date="local_date", num="Hit", den="atBat", out="r", days=50).filter("batter IS NOT NULL AND local_date IS NOT NULL")
+    assert said == {(r["batter"], r["local_date"]): r["r"] for r in batch.collect()} and said[5, DAY + dt.timedelta(days=3)] is None
+
+
+def test_days_of_a_stream_are_forgotten():
+    class State:
+        exists, get = True, ([0, 60, 100], [1.0, 1.0, 1.0], [1.0, 2.0, 2.0])
+
+        def update(self, new):
+            self.new = new
+
+    state = State()
+    batch = pd.DataFrame({"key": [1, 1, 1], "day": [120, 95, 70], "num": [1.0, 1.0, 1.0], "den": [1.0, 1.0, 1.0]})
+    [out] = _changed_days(50, 10)((1,), iter([batch]), state)
+    assert state.new == ([60, 95, 100, 120], [1.0, 1.0, 1.0, 1.0], [2.0, 1.0, 2.0, 1.0])  # 70 was too late, 0 is out of reach
+    assert out[["day", "num", "den"]].values.tolist() == [[95, 2.0, 3.0], [100, 3.0, 5.0], [120, 3.0, 4.0]]
