@@ -2,15 +2,17 @@
 
 A vector is described by its nearest reference points (pivots) in order. Every choice of
 ``shared`` of its ``prefix`` nearest pivots has an inverted list, so vectors that meet in a list
-share at least that many pivots, and those that share no list are never compared. Equal vectors
-are one item; items that share a list are brought together in tiles, counted for shared pivots
+share at least that many pivots, and those that share no list are never compared. What all
+vectors have in common is taken out before they are described, as it would decide the order of
+the pivots; how many pivots describe a vector follows from the recall measured on pairs at the
+threshold in a sample of the table itself. Equal vectors are one item; items that share a list are brought together in tiles, counted for shared pivots
 and verified by their cosine in double precision.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from hashlib import md5
 from itertools import combinations
 from math import ceil, comb, log2
@@ -32,8 +34,8 @@ class PivotIndex:
     The number of pivots grows with the cube root of the vectors, so that an unrelated vector
     shares a list with about ``strangers`` others whatever their number; it stays between
     ``fewest`` and ``most``, and the sample it is taken from is ``oversample`` times as large.
-    Up to ``dense`` pivots a pair at the threshold meets with ``prefix`` of them with a probability of
-    0.95; among more its nearest ones differ more, and each doubling takes one more to stay there.
+    Beyond ``dense`` pivots the nearest ones of a pair differ more, and each doubling takes one more.
+    Up to ``widest`` pivots a vector are taken until pairs at the threshold meet with probability ``recall``.
     """
 
     prefix: int = 8
@@ -44,6 +46,8 @@ class PivotIndex:
     most: int = 4096
     dense: int = 512
     oversample: int = 2
+    widest: int = 16
+    recall: float = 0.95
     apart: float = 0.8
     block: int = 128
 
@@ -73,21 +77,93 @@ def usable(name: str = "embedding"):
     return F.coalesce(sound & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def choose_pivots(vectors: DataFrame, index: PivotIndex, dimension: int) -> np.ndarray:
-    """Reference points from a bounded sample, the rows with the smallest hashes of their ids.
+@dataclass(frozen=True)
+class Description:
+    """What describes vectors: pivots, in the space in which ``centre`` is taken out, and the index with its prefix settled."""
+
+    pivots: np.ndarray
+    centre: np.ndarray
+    index: PivotIndex
+    recall: float  # of pairs at the threshold, as measured on the sample
+
+    def spread(self, units: np.ndarray) -> np.ndarray:
+        return _spread(units, self.centre)
+
+
+def _spread(units: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Directions from the centre; what lies at it has none."""
+    rows = units - centre
+    size = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.where(size > 1e-9, rows / np.maximum(size, 1e-300), 0.0)
+
 
-    A point is passed over if it is nearer than ``apart`` to one already chosen: a group of copies
-    does not make itself a crowd of pivots.
+def describe(vectors: DataFrame, index: PivotIndex, dimension: int) -> Description | None:
+    """Pivots and prefix from a bounded sample, the rows with the smallest hashes of their ids; None without rows.
+
+    Of the ways to describe that bring pairs at the threshold together, the one that leaves the
+    fewest lists and comparisons is taken. If none does, one list holds everything.
     """
-    wanted = index.pivots(vectors.count())
+    rows = vectors.count()
+    wanted = index.pivots(rows)
     sample = vectors.orderBy(F.xxhash64("id"), "id", "embedding").limit(index.oversample * wanted).toPandas()
-    points = unit_rows(list(sample["embedding"]), dimension) if len(sample) else np.zeros((0, max(1, dimension)))
+    if not len(sample):
+        return None
+    units = unit_rows(list(sample["embedding"]), dimension)
+    one, other = _pairs_at(units, index.threshold)
+    best = None
+    for centre in (units.mean(axis=0), np.zeros(units.shape[1])):
+        points = _spread(units, centre)
+        pivots = points[_apart(points, index.apart, wanted)]
+        first, second, crowd = (np.argsort(-(_spread(u, centre) @ pivots.T), axis=1, kind="stable") for u in (one, other, units[:TRIED]))
+        for shared in range(index.shared, 0, -1):
+            for prefix in range(index.prefix, index.widest + 1):
+                tried = replace(index, prefix=prefix, shared=shared)
+                near = tried.near(len(pivots))
+                met = _common(first[:, :near], second[:, :near]) >= min(shared, near)
+                if met.mean() >= index.recall:
+                    strangers = np.mean([_common(crowd[:, :near], np.roll(crowd[:, :near], by, axis=0)) >= min(shared, near) for by in range(1, 17)])
+                    cost = comb(near, min(shared, near)) + strangers * rows  # rows of lists and comparisons, for each vector
+                    if best is None or cost < best[0]:
+                        best = cost, Description(pivots, centre, tried, float(met.mean()))
+                    break
+    return best[1] if best else Description(units[:1], np.zeros(units.shape[1]), replace(index, prefix=1, shared=1), 1.0)
+
+
+TRIED = 600  # pairs on which a way to describe is tried
+
+
+def _apart(points: np.ndarray, apart: float, wanted: int) -> list[int]:
+    """Points of which none is nearer than ``apart`` to one before it: a group of copies is no crowd of pivots."""
     nearest, chosen = np.full(len(points), -1.0), []
     for i in range(len(points)):
-        if nearest[i] < index.apart and len(chosen) < wanted:
+        if nearest[i] < apart and len(chosen) < wanted:
             chosen.append(i)
             nearest = np.maximum(nearest, points @ points[i])
-    return points[chosen]
+    return chosen
+
+
+def _pairs_at(units: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs at the threshold: each vector turned towards another one of the sample, and the sample's own pairs nearest to it."""
+    one, towards = units[:TRIED], np.roll(units, 1, axis=0)[:TRIED]
+    aside = towards - (towards * one).sum(axis=1, keepdims=True) * one
+    size = np.sqrt((aside * aside).sum(axis=1, keepdims=True))
+    if units.shape[1] > 1:  # a vector whose neighbour lies in its own direction turns along an axis
+        axis = np.eye(units.shape[1])[np.abs(one).argmin(axis=1)]
+        axis = axis - (axis * one).sum(axis=1, keepdims=True) * one
+        aside = np.where(size > 1e-6, aside, axis)
+        size = np.sqrt((aside * aside).sum(axis=1, keepdims=True))
+    other = threshold * one + np.sqrt(1 - threshold**2) * aside / np.maximum(size, 1e-300)
+    some = units[:2048]
+    cosines = np.triu(some @ some.T, 1)
+    i, j = np.nonzero(cosines >= threshold)
+    nearest = np.argsort(cosines[i, j], kind="stable")[:TRIED]
+    return np.concatenate([one, some[i[nearest]]]), np.concatenate([other, some[j[nearest]]])
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many entries the rows of ``a`` and ``b`` share; a row repeats none."""
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    return (both[:, 1:] == both[:, :-1]).sum(axis=1)
 
 
 def list_names(units: np.ndarray, pivots: np.ndarray, index: PivotIndex) -> tuple[np.ndarray, np.ndarray]:
@@ -104,14 +180,14 @@ def list_names(units: np.ndarray, pivots: np.ndarray, index: PivotIndex) -> tupl
     return ranked, np.stack(names, axis=1).view(np.int64)
 
 
-def _described(pivots: np.ndarray, index: PivotIndex, dimension: int):
+def _described(description: Description, dimension: int):
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             vectors = list(batch["embedding"])
             if not vectors:
                 continue
             units = unit_rows(vectors, dimension)
-            ranked, names = list_names(units, pivots, index)
+            ranked, names = list_names(description.spread(units), description.pivots, description.index)
             yield pd.DataFrame({
                 "id": batch["id"],
                 "class": [md5(np.asarray(v, np.float64).tobytes()).hexdigest() for v in vectors],
@@ -149,19 +225,19 @@ def link_vectors(vectors: DataFrame, index: PivotIndex = PivotIndex()) -> DataFr
     rows = vectors.select("vec_id", id_or_last("vec_id").alias("id"), "embedding")
     sound = rows.where(usable()).select("id", "embedding")
     dimension = sound.agg(F.max(F.size("embedding")).alias("n")).first()["n"] or 1
-    pivots = choose_pivots(sound, index, dimension)
-    if not len(pivots):
+    description = describe(sound, index, dimension)
+    if description is None:
         own = F.col("vec_id").cast("long")
         return rows.select("vec_id", own.alias("class_id"), F.lit(0).cast("long").alias("n_links"), own.alias("component_id"), F.lit(True).alias("kept"))
     kind = "id long, class string, unit binary, ranked binary, buckets array<long>"
-    described = durable(sound.mapInPandas(_described(pivots, index, dimension), kind), "described")
+    described = durable(sound.mapInPandas(_described(description, dimension), kind), "described")
     known = classes_of(described.select("class", "id"))
     items = described.dropDuplicates(["class"]).join(known.select("class", "number", "copies"), "class")
     items = durable(items.select("number", "copies", "unit", "ranked", "buckets"), "items")
     shared = durable(shared_buckets(items), "buckets")
     tiles = durable(tiles_of(shared, index.block), "tiles")
     packed = tiles.join(items.select("number", "copies", "unit", "ranked"), "number")
-    links = durable(links_in_tiles(packed, _compared(index), ["unit", "ranked"]), "links")
+    links = durable(links_in_tiles(packed, _compared(description.index), ["unit", "ranked"]), "links")
     keyed = described.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("vec_id"), "id", "class")
     silent = rows.where(~usable()).select(F.col("vec_id").cast("long").alias("vec_id"), "id", F.lit(None).cast("string").alias("class"))
     return per_row(keyed.unionByName(silent), with_links(known, links), "vec_id")

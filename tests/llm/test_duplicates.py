@@ -259,6 +259,35 @@ def test_vector_links_have_recall(frame):
     assert all(r["kept"] == (r["component_id"] == i) for i, r in found.items())
 
 
+@pytest.mark.parametrize("common", [0.0, 0.3, 0.55, 0.8, 0.88])
+def test_vector_links_have_recall_off_the_centre(frame, common):
+    """Vectors with a common direction, as those of texts have: ``common`` is their mean cosine."""
+    rng = np.random.default_rng(31)
+    size, dimension = 1500, 32
+    rows = rng.normal(size=(size, dimension))
+    rows[size // 2 :] = rows[: size // 2] + 0.45 * rng.normal(size=(size - size // 2, dimension)) / (1 - common)  # pairs near the threshold
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    units = np.sqrt(1 - common) * rows + np.sqrt(common) * np.eye(dimension)[0]
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    table = frame([(i, v.tolist()) for i, v in enumerate(units)], "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: r["n_links"] for r in link_vectors(table).collect()}
+    close = units @ units.T >= 0.9
+    np.fill_diagonal(close, False)
+    n_links = np.array([found[i] for i in range(size)])
+    assert close.sum() > 100 and (n_links <= close.sum(1)).all()
+    assert n_links.sum() >= 0.93 * close.sum()
+
+
+def test_pivots_do_not_collapse(frame):
+    from predlens.llm.pivots import describe
+
+    rng = np.random.default_rng(32)
+    for common, fewest in ((0.5, 200), (0.86, 1)):  # where nearly all are alike, one list of all is the cheapest for so few
+        units = np.sqrt(1 - common) * rng.normal(size=(3000, 64)) / 8 + np.sqrt(common) * np.eye(64)[0]
+        found = describe(frame([(i, v.tolist()) for i, v in enumerate(units)], "id long, embedding array<double>"), PivotIndex(), 64)
+        assert len(found.pivots) >= fewest and found.recall >= 0.95
+
+
 @pytest.mark.parametrize("pivots", [64, 512, 1024, 2048, 4096])
 def test_pairs_at_the_threshold_meet_for_any_number_of_pivots(pivots):
     rng = np.random.default_rng(15)
