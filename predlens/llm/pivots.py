@@ -35,7 +35,8 @@ class PivotIndex:
     shares a list with about ``strangers`` others whatever their number; it stays between
     ``fewest`` and ``most``, and the sample it is taken from is ``oversample`` times as large.
     Beyond ``dense`` pivots the nearest ones of a pair differ more, and each doubling takes one more.
-    Up to ``widest`` pivots a vector are taken until pairs at the threshold meet with probability ``recall``.
+    Up to ``widest`` pivots a vector are taken until pairs at the threshold meet with probability ``recall``,
+    which leaves room for pairs that the sample does not show.
     """
 
     prefix: int = 8
@@ -47,7 +48,7 @@ class PivotIndex:
     dense: int = 512
     oversample: int = 2
     widest: int = 16
-    recall: float = 0.95
+    recall: float = 0.97
     apart: float = 0.8
     block: int = 128
 
@@ -109,7 +110,7 @@ def describe(vectors: DataFrame, index: PivotIndex, dimension: int) -> Descripti
     if not len(sample):
         return None
     units = unit_rows(list(sample["embedding"]), dimension)
-    one, other = _pairs_at(units, index.threshold)
+    one, other, kinds = _pairs_at(units, index.threshold)
     best = None
     for centre in (units.mean(axis=0), np.zeros(units.shape[1])):
         points = _spread(units, centre)
@@ -120,16 +121,18 @@ def describe(vectors: DataFrame, index: PivotIndex, dimension: int) -> Descripti
                 tried = replace(index, prefix=prefix, shared=shared)
                 near = tried.near(len(pivots))
                 met = _common(first[:, :near], second[:, :near]) >= min(shared, near)
-                if met.mean() >= index.recall:
+                recall = min([part.mean() for part in np.split(met, kinds) if len(part) >= FEW], default=met.mean())
+                if recall >= index.recall:
                     strangers = np.mean([_common(crowd[:, :near], np.roll(crowd[:, :near], by, axis=0)) >= min(shared, near) for by in range(1, 17)])
                     cost = comb(near, min(shared, near)) + strangers * rows  # rows of lists and comparisons, for each vector
                     if best is None or cost < best[0]:
-                        best = cost, Description(pivots, centre, tried, float(met.mean()))
+                        best = cost, Description(pivots, centre, tried, float(recall))
                     break
     return best[1] if best else Description(units[:1], np.zeros(units.shape[1]), replace(index, prefix=1, shared=1), 1.0)
 
 
-TRIED = 600  # pairs on which a way to describe is tried
+TRIED = 600  # pairs of each kind on which a way to describe is tried
+FEW = 30  # of fewer pairs of a kind nothing is concluded
 
 
 def _apart(points: np.ndarray, apart: float, wanted: int) -> list[int]:
@@ -142,8 +145,12 @@ def _apart(points: np.ndarray, apart: float, wanted: int) -> list[int]:
     return chosen
 
 
-def _pairs_at(units: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs at the threshold: each vector turned towards another one of the sample, and the sample's own pairs nearest to it."""
+def _pairs_at(units: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Pairs at the threshold, and where a kind of them ends.
+
+    Each vector turned towards another one of the sample, each turned away from it, and the sample's
+    own pairs nearest to the threshold.
+    """
     one, towards = units[:TRIED], np.roll(units, 1, axis=0)[:TRIED]
     aside = towards - (towards * one).sum(axis=1, keepdims=True) * one
     size = np.sqrt((aside * aside).sum(axis=1, keepdims=True))
@@ -152,12 +159,14 @@ def _pairs_at(units: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarr
         axis = axis - (axis * one).sum(axis=1, keepdims=True) * one
         aside = np.where(size > 1e-6, aside, axis)
         size = np.sqrt((aside * aside).sum(axis=1, keepdims=True))
-    other = threshold * one + np.sqrt(1 - threshold**2) * aside / np.maximum(size, 1e-300)
+    turn = np.sqrt(1 - threshold**2) * aside / np.maximum(size, 1e-300)
     some = units[:2048]
     cosines = np.triu(some @ some.T, 1)
     i, j = np.nonzero(cosines >= threshold)
     nearest = np.argsort(cosines[i, j], kind="stable")[:TRIED]
-    return np.concatenate([one, some[i[nearest]]]), np.concatenate([other, some[j[nearest]]])
+    left = [one, one, some[i[nearest]]]
+    right = [threshold * one + turn, threshold * one - turn, some[j[nearest]]]
+    return np.concatenate(left), np.concatenate(right), [len(one), 2 * len(one)]
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
