@@ -2,21 +2,24 @@
 
 Going down the path, the segments below one template become a wildcard where they are numbers
 or hold many values for the rows; literal branches whose block rates do not differ from their
-siblings' by a two-proportion test are merged into one. A template is rejected when the
-smoothed share of blocked among its labelled urls is high.
+siblings' by a two-proportion test, or that have no labels to differ by, are merged into one.
+A template's share of blocked is smoothed towards that of the template above it, and so on up
+to the host and all urls: a template with few labels of its own is judged by its neighbours. It
+is rejected when the smoothed share is high.
 """
 
 from __future__ import annotations
 
 import string
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from predlens.session import durable
 
-ANY, MERGED, END, DEEPER = "*", "~", "", "**"
+ANY, MERGED, END = "*", "~", ""
 NUMBER = "^[0-9]+([.][a-z]+)?$"
 
 
@@ -41,15 +44,12 @@ RULES = (
 
 @dataclass(frozen=True)
 class TemplateTree:
-    """``depth``: segments told apart; what lies deeper is one wildcard.
-
-    A parent's segments are variable from ``values`` distinct ones on, if they make up at least
+    """A parent's segments are variable from ``values`` distinct ones on, if they make up at least
     the share ``variety`` of its rows. ``z``: largest statistic of branches that count as
-    similar. A template is rejected from the smoothed share ``reject`` of blocked urls on;
-    ``strength`` labelled urls at the overall share are added to its own.
+    similar. ``strength`` labelled urls at the smoothed share of the template above are added to a
+    template's own; it is rejected from the share ``reject`` of blocked urls on.
     """
 
-    depth: int = 3
     values: int = 8
     variety: float = 0.2
     z: float = 1.96
@@ -87,69 +87,110 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, tree: Template
     """One row per page: host, path, rule, verdict, template, labelled urls of the template, purity.
 
     The urls that a rule decides are the labels. A url no rule decides is blocked where its
-    template has labels and its purity reaches ``tree.reject``; a template without labels has the
-    overall share as its purity, and is allowed. NULL and malformed urls belong to the
-    empty host; repeated rows count as often as they occur. Reads page_id and url.
+    host has labels and its template's purity, smoothed up the whole path, reaches
+    ``tree.reject``. A host without labels has the overall share as its purity, and is allowed:
+    other hosts do not judge it. Every segment of the path counts, at any depth; a segment that
+    reads ``*`` or ``~`` is taken as a wildcard. NULL and malformed urls belong to the empty host;
+    repeated rows count as often as they occur. Reads page_id and url.
     """
     parts = url_parts(pages.select("page_id", "url"))
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
+    segments = F.filter(F.split("path", "/"), lambda s: s != END)
     blocked = _rule(rules, lambda rule: int(rule.verdict == "block"))
-    deeper = F.when(F.size(segments) > tree.depth, DEEPER).otherwise(END)
-    rows = parts.select(
-        "page_id", "host", "path", _rule(rules, lambda rule: rule.text).alias("rule"), blocked.alias("blocked"),
-        *[_segment(segments, i).alias(f"s{i}") for i in range(tree.depth)], deeper.alias("deeper"),
+    rows = durable(
+        parts.select(
+            "page_id", "host", "path", _rule(rules, lambda rule: rule.text).alias("rule"), blocked.alias("blocked"),
+            F.transform(segments, lambda s: F.when(s.rlike(NUMBER), ANY).otherwise(s)).alias("segments"),
+        ),
+        "urls",
     )
-    rows = durable(rows, "urls")
-    for level in range(tree.depth):
-        rows = durable(_generalised(rows, level, tree), f"level{level}")
-    key = ["host", *[f"m{i}" for i in range(tree.depth)], "deeper"]
-    counts = rows.groupBy(*key).agg(F.count("blocked").alias("labelled"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("n_blocked"))
-    total = counts.agg(F.sum("labelled").alias("n"), F.sum("n_blocked").alias("b")).first()
-    overall = total["b"] / total["n"] if total["n"] else 0.0
-    purity = (F.col("n_blocked") + F.lit(tree.strength * overall)) / (F.col("labelled") + F.lit(tree.strength))
-    judged = counts.withColumn("purity", purity).drop("n_blocked")
-    own = F.when((F.col("labelled") > 0) & (F.col("purity") >= tree.reject), "block").otherwise("allow")
-    template = F.concat_ws("/", "host", *[F.when(F.col(name) != END, F.col(name)) for name in key[1:]])
-    return rows.join(judged, key).select(
+    paths = rows.groupBy("host", "segments").agg(F.count("*").alias("n"), *_labels(F.col("blocked")))
+    judged = _templates(durable(paths, "paths"), tree)
+    own = F.when(F.col("known") & (F.round("purity", 9) >= tree.reject), "block").otherwise("allow")
+    return rows.join(judged, ["host", "segments"]).select(
         "page_id", "host", "path", "rule",
         F.when(F.col("blocked") == 1, "block").when(F.col("blocked") == 0, "allow").otherwise(own).alias("verdict"),
-        template.alias("template"), "labelled", "purity",
+        "template", "labelled", "purity",
     )
 
 
-def _segment(segments: Column, i: int) -> Column:
-    found = F.coalesce(F.get(segments, F.lit(i)), F.lit(END))
-    return F.when(found.rlike(NUMBER), ANY).otherwise(found)
+def _labels(blocked: Column) -> list[Column]:
+    return [F.count(blocked).alias("labelled"), F.coalesce(F.sum(blocked), F.lit(0)).alias("b")]
+
+
+def _sums(*names: str) -> list[Column]:
+    return [F.sum(name).alias(name) for name in names]
+
 
+def _templates(paths: DataFrame, tree: TemplateTree) -> DataFrame:
+    """(host, segments, known, template, labelled, purity) of distinct paths with the counts n, labelled and b.
 
-def _generalised(rows: DataFrame, level: int, tree: TemplateTree) -> DataFrame:
-    """``rows`` with the template's segment ``m{level}`` in place of ``s{level}``."""
-    own, parent = f"s{level}", ["host", *[f"m{i}" for i in range(level)]]
-    children = rows.groupBy(*parent, own).agg(
-        F.count("*").alias("n"), F.count("blocked").alias("labelled"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b")
+    One step per level of the tree, over the paths that still part there: where a template has a
+    single path left, nothing below it can be generalised and the path is finished at once.
+    """
+    hosts = paths.groupBy("host").agg(*_sums("labelled", "b"))
+    total = hosts.agg(*_sums("labelled", "b")).first()
+    overall = total["b"] / total["labelled"] if total["labelled"] else 0.0
+    roots = hosts.select("host", (F.col("labelled") > 0).alias("known"), _smoothed(tree, F.lit(overall)).alias("purity"))
+    left = paths.join(roots, "host").withColumns({"template": F.col("host"), "rest": F.col("segments")})
+    result = ["host", "segments", "known", "template", "labelled", "purity"]
+    finished = []
+    while True:
+        step = durable(_descended(left, tree), "level")
+        finished.append(step.where("done").select(*result[:4], F.col("node_labelled").alias("labelled"), "purity"))
+        left = step.where("not done").drop("done", "node_labelled")
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, finished)
+
+
+def _smoothed(tree: TemplateTree, above: Column) -> Column:
+    return (F.col("b") + F.lit(tree.strength) * above) / (F.col("labelled") + F.lit(tree.strength))
+
+
+def _descended(left: DataFrame, tree: TemplateTree) -> DataFrame:
+    """``left`` one segment further down: template and purity there, the rest of the path, whether it is done."""
+    left = left.withColumn("own", F.coalesce(F.get("rest", F.lit(0)), F.lit(END)))
+    mark = F.xxhash64("rest")
+    children = durable(
+        left.groupBy("template", "own").agg(
+            *_sums("n", "labelled", "b"), F.max("purity").alias("purity"), F.min(mark).alias("low"), F.max(mark).alias("high")
+        ),
+        "branches",
     )
-    literal = ~F.col(own).isin(ANY, END)
-    above = children.groupBy(*parent).agg(
+    literal = ~F.col("own").isin(ANY, END)
+    above = children.groupBy("template").agg(
         F.count(F.when(literal, 1)).alias("values"), F.coalesce(F.sum(F.when(literal, F.col("n"))), F.lit(0)).alias("literal_n"),
-        F.sum("labelled").alias("all_labelled"), F.sum("b").alias("all_b"),
+        F.sum("labelled").alias("all_labelled"), F.sum("b").alias("all_b"), (F.min("low") == F.max("high")).alias("single"),
     )
     variable = (F.col("values") >= tree.values) & (F.col("values") >= tree.variety * F.col("literal_n"))
-    above = above.withColumn("variable", variable)
-    branches = children.where(literal).join(above.where(~F.col("variable")), parent)
-    similar = branches.where(_similar(tree.z)).select(*parent, own, F.lit(True).alias("similar"))
-    kinds = above.select(*parent, "variable")
-    segment = F.when(literal & F.col("variable"), ANY).when(F.col("similar"), MERGED).otherwise(F.col(own))
-    return rows.join(kinds, parent).join(similar, [*parent, own], "left").withColumn(f"m{level}", segment).drop(own, "variable", "similar")
+    segment = F.when(literal & variable, ANY).when(literal & _similar(tree.z), MERGED).otherwise(F.col("own"))
+    branches = children.join(above, "template").withColumn("segment", segment)
+    nodes = branches.groupBy("template", "segment").agg(*_sums("labelled", "b"), F.max("purity").alias("above"))
+    nodes = nodes.select("template", "segment", F.col("labelled").alias("node_labelled"), _smoothed(tree, F.col("above")).alias("node_purity"))
+    found = branches.select("template", "own", "segment", "single", "all_labelled", "all_b").join(nodes, ["template", "segment"])
+
+    # A single path's labels are smoothed once per segment and once for its end: a geometric series.
+    share = F.coalesce(F.col("all_b") / F.nullif(F.col("all_labelled"), F.lit(0)), F.col("purity"))
+    shrunk = F.pow(F.lit(tree.strength) / (F.lit(tree.strength) + F.col("all_labelled")), F.size("rest") + 1)
+    done = F.col("single") | (F.col("own") == END)
+    return left.join(found, ["template", "own"]).select(
+        "host", "segments", "known", "n", "labelled", "b",
+        F.when(F.col("single"), F.concat_ws("/", "template", "rest"))
+        .when(F.col("own") == END, F.col("template")).otherwise(F.concat_ws("/", "template", "segment")).alias("template"),
+        F.when(F.col("single"), share + (F.col("purity") - share) * shrunk).otherwise(F.col("node_purity")).alias("purity"),
+        F.when(done, F.array().cast("array<string>")).otherwise(F.slice("rest", F.lit(2), F.size("rest"))).alias("rest"),
+        F.when(F.col("single"), F.col("all_labelled")).otherwise(F.col("node_labelled")).alias("node_labelled"), done.alias("done"),
+    )
 
 
 def _similar(most: float) -> Column:
-    """Whether a branch's block rate is like that of its siblings together; both need labels."""
+    """Whether a branch's block rate is like that of its siblings together, or it has no labels and they have."""
     n, b = F.col("labelled"), F.col("b")
     rest, rest_b = F.col("all_labelled") - n, F.col("all_b") - b
     pooled = F.col("all_b") / F.nullif(F.col("all_labelled"), F.lit(0))
     variance = pooled * (1 - pooled) * (F.lit(1.0) / F.nullif(n, F.lit(0)) + F.lit(1.0) / F.nullif(rest, F.lit(0)))
     gap = b / F.nullif(n, F.lit(0)) - rest_b / F.nullif(rest, F.lit(0))
-    return (n > 0) & (rest > 0) & ((variance == 0) | (gap * gap <= F.lit(most * most) * variance))
+    return (rest > 0) & ((n == 0) | (variance == 0) | (gap * gap <= F.lit(most * most) * variance))
 
 
 def sql_judged(rules: tuple[Rule, ...] = RULES, tree: TemplateTree = TemplateTree()) -> str:
@@ -160,39 +201,31 @@ def sql_judged(rules: tuple[Rule, ...] = RULES, tree: TemplateTree = TemplateTre
     ]
     rule = "CASE " + " ".join(f"WHEN {test} THEN '{r.text}'" for test, r in fits) + " END"
     blocked = "CASE " + " ".join(f"WHEN {test} THEN {int(r.verdict == 'block')}" for test, r in fits) + " END"
-    pick = [f"CASE WHEN regexp_matches(COALESCE(seg[{i + 1}], ''), '{NUMBER}') THEN '*' ELSE COALESCE(seg[{i + 1}], '') END AS s{i}" for i in range(tree.depth)]
-    parts = f"""
-      cut AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    literal = "s NOT IN ('*', '')"
+    return f"""WITH RECURSIVE cut AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
       named AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host,
         regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path FROM cut),
-      seg AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS seg FROM named),
-      g0 AS (SELECT page_id, host, path, {rule} AS rule, {blocked} AS blocked, {', '.join(pick)},
-        CASE WHEN len(seg) > {tree.depth} THEN '**' ELSE '' END AS deeper FROM seg)"""
-
-    def step(rows: str, level: int) -> str:
-        parent = ", ".join(["host", *[f"m{i}" for i in range(level)]])
-        s = f"s{level}"
-        return f""",
-      c{level} AS (SELECT {parent}, {s}, COUNT(*) AS n, COUNT(blocked) AS l, COALESCE(SUM(blocked), 0) AS b FROM {rows} GROUP BY ALL),
-      t{level} AS (SELECT *, COUNT(CASE WHEN {s} NOT IN ('*', '') THEN 1 END) OVER w AS v,
-        COALESCE(SUM(CASE WHEN {s} NOT IN ('*', '') THEN n END) OVER w, 0) AS ln, SUM(l) OVER w AS al, SUM(b) OVER w AS ab
-        FROM c{level} WINDOW w AS (PARTITION BY {parent})),
-      d{level} AS (SELECT {parent}, {s}, CASE WHEN {s} IN ('*', '') THEN {s}
-        WHEN v >= {tree.values} AND v >= {tree.variety} * ln THEN '*'
-        WHEN l > 0 AND al > l AND (ab = 0 OR ab = al OR
-          pow(b / l - (ab - b) / (al - l), 2) <= {tree.z * tree.z} * (ab / al) * (1 - ab / al) * (1.0 / l + 1.0 / (al - l))) THEN '~'
-        ELSE {s} END AS m{level} FROM t{level}),
-      g{level + 1} AS (SELECT * FROM {rows} JOIN d{level} USING ({parent}, {s}))"""
-
-    levels = "".join(step(f"g{i}", i) for i in range(tree.depth))
-    key = ", ".join(["host", *[f"m{i}" for i in range(tree.depth)], "deeper"])
-    template = ", ".join(["host", *[f"NULLIF(m{i}, '')" for i in range(tree.depth)], "NULLIF(deeper, '')"])
-    return f"""WITH {parts}{levels},
-      k AS (SELECT {key}, COUNT(blocked) AS labelled, COALESCE(SUM(blocked), 0) AS nb FROM g{tree.depth} GROUP BY ALL),
-      o AS (SELECT CASE WHEN SUM(labelled) > 0 THEN SUM(nb) / SUM(labelled) ELSE 0 END AS p FROM k),
-      p AS (SELECT {key}, labelled, (nb + {tree.strength} * p) / (labelled + {tree.strength}) AS purity FROM k, o)
+      marked AS (SELECT page_id, host, path, {rule} AS rule, {blocked} AS blocked,
+        list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '{NUMBER}') THEN '*' ELSE x END) AS seg
+        FROM named),
+      o AS (SELECT COALESCE(AVG(blocked), 0) AS p FROM marked),
+      rooted AS (SELECT marked.*, p, COUNT(blocked) OVER w AS l, COALESCE(SUM(blocked) OVER w, 0) AS b FROM marked, o WINDOW w AS (PARTITION BY host)),
+      walk AS (
+        SELECT page_id, host, path, rule, blocked, seg, 0 AS level, host AS template, l AS labelled, l > 0 AS known,
+          (b + {tree.strength} * p) / (l + {tree.strength}) AS purity, false AS done FROM rooted
+        UNION ALL
+        SELECT page_id, host, path, rule, blocked, seg, level + 1, CASE WHEN s = '' THEN template ELSE template || '/' || m END,
+          COUNT(blocked) OVER w, known, (COALESCE(SUM(blocked) OVER w, 0) + {tree.strength} * purity) / (COUNT(blocked) OVER w + {tree.strength}), s = ''
+        FROM (SELECT *, CASE WHEN NOT {literal} THEN s WHEN v >= {tree.values} AND v >= {tree.variety} * ln THEN '*'
+            WHEN al > l AND (l = 0 OR ab = 0 OR ab = al OR
+              pow(b / l - (ab - b) / (al - l), 2) <= {tree.z * tree.z} * (ab / al) * (1 - ab / al) * (1.0 / l + 1.0 / (al - l))) THEN '~'
+            ELSE s END AS m
+          FROM (SELECT *, COUNT(DISTINCT CASE WHEN {literal} THEN s END) OVER t AS v, COUNT(CASE WHEN {literal} THEN 1 END) OVER t AS ln,
+              COUNT(blocked) OVER t AS al, COALESCE(SUM(blocked) OVER t, 0) AS ab, COUNT(blocked) OVER c AS l, COALESCE(SUM(blocked) OVER c, 0) AS b
+            FROM (SELECT *, COALESCE(seg[level + 1], '') AS s FROM walk WHERE NOT done)
+            WINDOW t AS (PARTITION BY template), c AS (PARTITION BY template, s)))
+        WINDOW w AS (PARTITION BY template, m))
       SELECT page_id, host, path, rule, CASE blocked WHEN 1 THEN 'block' WHEN 0 THEN 'allow'
-          ELSE CASE WHEN labelled > 0 AND purity >= {tree.reject} THEN 'block' ELSE 'allow' END END AS verdict,
-        concat_ws('/', {template}) AS template, labelled, round(purity, 9) AS purity
-      FROM g{tree.depth} JOIN p USING ({key})"""
-
+          ELSE CASE WHEN known AND round(purity, 9) >= {tree.reject} THEN 'block' ELSE 'allow' END END AS verdict,
+        template, labelled, round(purity, 9) AS purity
+      FROM walk WHERE done"""

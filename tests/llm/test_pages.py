@@ -1,12 +1,15 @@
 """Main text of pages and url templates: hand-made cases and the given pages."""
 
 import html
+import random
 import re
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from predlens.llm import queries
-from predlens.llm.urls import Rule, TemplateTree, judge_urls, url_parts
+from predlens.llm.urls import Rule, TemplateTree, judge_urls, sql_judged, url_parts
 from predlens.llm.wrappers import Node, Page, extract_main_text, folded, infer_wrappers, main_places, main_text, merged
 
 
@@ -168,6 +171,45 @@ def test_rules_and_templates(frame):
     assert found["http://y.net"]["rule"] is None and found["http://snet/"]["rule"] is None and found["http://a.net/q"]["rule"] == "net/"
 
 
+def test_labels_reach_urls_without_any(frame):
+    """Evidence goes down from the host, along the whole path, and not to other hosts."""
+    deep = "/a/b/c/d"
+    urls = [f"http://spam.com/de/{i}" for i in range(30)] + [f"http://half.com/{p}/{i}" for p in ("bad", "good") for i in range(30)]
+    urls += [f"http://deep.com{deep}/{p}/x{i % 3}" for p in ("bad", "good") for i in range(30)]
+    asked = {
+        "http://spam.com/en/7": "block", "http://spam.com": "block", "http://half.com/other/7": "allow", "http://new.com/de/1": "allow",
+        f"http://deep.com{deep}/bad/page": "block", f"http://deep.com{deep}/good/page": "allow", f"http://deep.com{deep}/else": "allow",
+    }
+    rules = (
+        Rule("block", "spam.com", "/de/"), Rule("block", "half.com", "/bad/"), Rule("allow", "half.com", "/good/"),
+        Rule("block", "deep.com", f"{deep}/bad/x"), Rule("allow", "deep.com", f"{deep}/good/x"),
+    )
+    urls += asked
+    pages = frame(list(enumerate(urls)), "page_id long, url string")
+    found = {urls[r["page_id"]]: r for r in judge_urls(pages, rules).collect()}
+    assert {url: found[url]["verdict"] for url in asked} == asked and not any(found[url]["rule"] for url in asked)
+    assert found["http://spam.com/en/7"]["template"] == "spam.com/~/*" and found["http://new.com/de/1"]["labelled"] == 0
+
+
+def test_url_tree_against_sql(spark, frame):
+    """Random trees of paths of unequal depth, with repeated rows, against the check SQL."""
+    draw = random.Random(5)
+    hosts = ["x.example.com", "y.example.net", "z.net", "w.org", "example.com", "v.de"]
+    words = ["de", "en", "fr", "a", "b", "7", "x.html", "12.html", "*", "~", *[f"k{i}" for i in range(12)]]
+    urls = []
+    for host in hosts:
+        for _ in range(60):
+            path = "/".join(draw.choice(words[: draw.choice([4, 8, 22])]) for _ in range(draw.randrange(5)))
+            urls += [f"http://{host}/{path}" + draw.choice(["", "/"])] * draw.choice([1, 1, 3])
+    pages = frame(list(enumerate(urls)), "page_id long, url string")
+    from oracle import compare
+
+    connection = duckdb.connect()
+    connection.register("pages", pages.toPandas())
+    good, message = compare(judge_urls(pages).withColumn("purity", F.round("purity", 9)), connection, sql_judged())
+    assert good, message
+
+
 def test_url_edge_cases(frame):
     rows = [(None, None), (1, "x"), (1, "x"), (2, "http://a.b/" + "s/" * 3000), (3, "http://a.net/")]
     pages = frame([(*r, 1, "h") for r in rows], "page_id long, url string, host int, path string")
