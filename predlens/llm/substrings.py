@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from predlens.llm.batches import in_small_batches
+from predlens.operators.ordering import with_position
+from predlens.session import durable
 
 WINDOW_STEPS = 4  # doublings: the hash looks at 2**4 bytes
 SPACE = np.zeros(256, bool)
@@ -30,7 +32,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 STRETCH = 48  # bytes without white space after which text counts as unspaced
 PER_WORD = 3  # unspaced characters that count as a word
 FACTOR = 0x9E3779B97F4A7C15  # any odd number: the place of a chunk in its span
-NO_ID = 2**63 - 1  # rows without an id count as one last document
+NO_ID = 2**63 - 1  # rows without an id come last
 
 
 @dataclass(frozen=True)
@@ -163,13 +165,15 @@ def dedup_substrings(docs: DataFrame, chunking: Chunking = Chunking(), into: str
 
     Ranges are (start, end) in characters of the old text, in order. Of each repeated passage the
     document with the smallest doc_id keeps one; the edges of a passage that share a chunk with
-    other text stay. NULL and empty texts are left alone. Rows with equal ids count as one
-    document and do not lose what they share; so do all rows with a NULL id, which come last.
-    A column of the name ``into`` is replaced; no row is dropped. A document's digests never outgrow it.
+    other text stay. NULL and empty texts are left alone. Every row is a document of its own: rows
+    with a NULL id come last, rows that share an id in the order of their texts' hashes, so that of
+    equal rows one keeps its text. A column of the name ``into`` is replaced; no row is dropped. A
+    document's digests never outgrow it.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    foreign = foreign_digests(rows, chunking)
-    gear, columns = chunking.gear(), [c for c in docs.columns if c != into]
+    columns = [c for c in docs.columns if c != into]
+    whole = _told_apart(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__doc")))
+    foreign = foreign_digests(whole.select("id", "__doc.text"), chunking)
+    gear = chunking.gear()
 
     @F.pandas_udf("text string, removed array<struct<start:int,end:int>>")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -177,12 +181,22 @@ def dedup_substrings(docs: DataFrame, chunking: Chunking = Chunking(), into: str
             done = [_without(text, other, chunking, gear) for text, other in zip(texts, foreigns)]
             yield pd.DataFrame({"text": [d[0] for d in done], "removed": [d[1] for d in done]})
 
-    own = F.coalesce(F.col("__doc.doc_id").cast("long"), F.lit(NO_ID))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__doc"))
-    joined = whole.withColumn("id", own).join(foreign, "id", "left").withColumn("__cut", cut(F.col("__doc.text"), F.col("foreign")))
+    joined = whole.join(foreign, "id", "left").withColumn("__cut", cut(F.col("__doc.text"), F.col("foreign")))
     return joined.select(*[(F.col("__cut.text") if c == "text" else F.col(f"__doc.`{c}`")).alias(c) for c in columns], F.col("__cut.removed").alias(into))
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """``docs``, of one column ``__doc``, with an ``id`` that no two rows share, in the order of doc_id.
+
+    That is doc_id, where it tells the rows apart; else all rows are numbered, and written for it.
+    """
+    named = docs.withColumn("id", F.coalesce(F.col("__doc.doc_id").cast("long"), F.lit(NO_ID)))
+    if named.groupBy("id").count().where("count > 1").isEmpty():
+        return named
+    hashed = named.withColumn("hash", F.xxhash64("__doc.text"))
+    return durable(with_position(hashed, ["id", "hash"], "place").select("__doc", F.col("place").alias("id")), "numbered")
+
+
 def _without(text, foreign, chunking: Chunking, gear: np.ndarray):
     if not isinstance(text, str) or not text:
         return (text if isinstance(text, str) else None), []

@@ -222,13 +222,30 @@ def test_substring_edge_cases(frame):
     for row in found:
         texts.setdefault(row["doc_id"], []).append(row["text"])
     assert texts[1] == [None] and texts[2] == ["", ""] and texts[8] == [" \n "]
-    assert texts[3] == [passage, passage]
+    assert texts[3][0] != texts[3][1] and passage in texts[3] and len(min(texts[3])) < len(passage) / 3
     assert all(len(t) < len(passage) / 3 for t in texts[None])
     assert len(texts[5][0]) < 1.2 * len(other) + 60
     assert len(found) == len(rows)
     assert dedup_substrings(frame(rows, "doc_id long, text string").limit(0)).count() == 0
 
 
+def test_repeats_of_rows_without_an_id_of_their_own(frame):
+    """A passage that stands in rows with a NULL id, or with one and the same, stays in one of them."""
+    rng = random.Random(15)
+    passage, shared = prose(rng, 80), prose(rng, 80)
+    rows = [(None, f"{prose(rng, 60)}\n{passage}\n{prose(rng, 30)}", i) for i in range(20)]
+    rows += [(7, f"{prose(rng, 60)}\n{shared}\n{prose(rng, 30)}", 100 + i) for i in range(20)] + [(8, shared, 200), (5, passage, 201)]
+    rows += [(None, rows[0][1], 300)] * 3
+    found = dedup_substrings(frame(rows, "doc_id long, text string, hash int")).collect()
+    assert len(found) == len(rows)
+    assert [r["hash"] for r in found if passage in r["text"]] == [201]
+    assert [r["doc_id"] for r in found if shared in r["text"]] == [7]
+    whole = {r[2]: r[1] for r in rows}
+    assert sum(r["text"] == whole[r["hash"]] for r in found) == 2 and all(len(r["text"].split()) < 115 for r in found if r["doc_id"] == 7 and shared not in r["text"])
+    copies = [r["text"] for r in found if r["hash"] in (0, 300)]
+    assert len(copies) == 4 and sum(len(text.split()) > 60 for text in copies) == 1
+
+
 def vectors_of(rng, groups, alone, dimension=24):
     rows = []
     for size, cosine in groups:
