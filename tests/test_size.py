@@ -1,0 +1,77 @@
+"""What keeps tasks and the driver small on large tables; each on rows that are small themselves."""
+
+import numpy as np
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.sql import functions as F
+
+from predlens.catalogue.batting import q_rolling_stream
+from predlens.catalogue.machines import q_kernel_landmarks
+from predlens.models import neighbours, suite
+from predlens.operators import teams
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_a_stream_are_written_by_many_tasks(spark, data, monkeypatch):
+    def refused(*_):
+        raise AssertionError("one task for all rows")
+
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", refused)
+    assert q_rolling_stream(spark, data).count() > 0
+
+
+def test_a_forest_is_fitted_by_many_tasks(spark, monkeypatch):
+    tasks = []
+    fit = RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, rows: tasks.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    monkeypatch.setattr(suite, "TASK_ROWS", 100, raising=False)
+    rows = spark.range(1000).coalesce(1).select(F.col("id").alias("a"), (F.col("id") % 2).alias("y"))
+    assert suite.forest_importance(rows, ["a"], "y", classify=True) is not None
+    assert tasks == [10]
+
+
+def test_a_comparison_is_fitted_by_many_tasks(spark, monkeypatch):
+    tasks = []
+    scaled = suite.StandardScaler._fit
+    monkeypatch.setattr(suite.StandardScaler, "_fit", lambda self, rows: tasks.append(rows.rdd.getNumPartitions()) or scaled(self, rows))
+    monkeypatch.setattr(suite, "TASK_ROWS", 100, raising=False)
+    rows = spark.range(1000).coalesce(1).select("id", (F.col("id") % 7).alias("a"), (F.col("id") % 2).alias("y"))
+    suite.compare(rows, rows, {"one": ["a"]}, label="y", key="id", models=["naive_bayes"])
+    assert tasks == [10]
+
+
+def test_landmark_columns_are_not_broadcast(spark, data):
+    assert "Broadcast" not in plan_of(q_kernel_landmarks(spark, data))
+
+
+def test_outings_are_not_shuffled_by_team(spark):
+    names = ["startingInning", "endingInning", "atBat", "outsPlayed", "Home_Run", "Walk", "Strikeout", "Hit", "Fly_Out", "Flyout"]
+    pitching = spark.range(10).select(F.col("id").alias("game_id"), (F.col("id") % 2).alias("team_id"), F.col("id").alias("pitcher"), *[F.lit(3).alias(n) for n in names])
+    constants = spark.range(2).select(F.lit("L").alias("league"), F.lit("d").alias("division"), F.col("id").alias("team_id"), F.lit(1.0).alias("C"), F.lit(0.5).alias("lgHRFB"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rates = teams.outing_rates(pitching, constants)
+        assert rates.count() == 10
+        assert "hashpartitioning(team_id" not in plan_of(rates)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_cells_meet_queries_in_bundles():
+    assert neighbours._bundled(np.array([3, 3, 3, 20, 1, 0, 2]), 8).tolist() == [0, 0, 1, 2, 3, 3, 3]
+
+
+def test_products_find_the_same_neighbours_as_distances(spark):
+    random = np.random.default_rng(3)
+    points = random.normal(size=(600, 6)) + 1000.0  # far from the origin, and some of them twice
+    points[300:330] = points[:30]
+    rows = spark.createDataFrame([(i, i % 3, p.tolist()) for i, p in enumerate(points)], "id long, label int, x array<double>")
+    asked = rows.filter("id % 5 = 0")
+    found = neighbours.nearest(rows, asked, key="id", features="x", label="label", k=3, pivots=20, train_block=64, query_block=16)
+    got = {(r["id"], r["place"]): r["neighbour"] for r in found.collect()}
+    for i in range(0, 600, 5):
+        off = np.sqrt(np.square(points - points[i]).sum(axis=1))
+        assert [got[i, place] for place in (1, 2, 3)] == np.lexsort((np.arange(600), off))[:3].tolist()
