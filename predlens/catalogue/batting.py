@@ -7,7 +7,7 @@ from predlens.catalogue.registry import fixed, query, sql_fixed, table
 from predlens.operators.ratios import RatioColumns, annual_ratio, historic_ratio, rolling_ratio
 from predlens.operators.windows import trailing_row_means
 from predlens.streaming.buckets import tumbling
-from predlens.session import scratch_folder
+from predlens.session import durable, scratch_folder
 from predlens.streaming.trailing import trailing_ratio_stream
 from predlens.transformers import TrailingRatio
 
@@ -95,15 +95,17 @@ def q_rolling_stream(spark, folder):
     """The lines come as a stream of three batches in no order of time; the last word on each (key, day) is the batch result."""
     facts = line_facts(spark, folder).join(order_games(spark, folder), "game_id")
     rows = facts.select("o_custkey", F.col("local_date").cast("date").alias("local_date"), "hit", "at_bat")
-    place, told = scratch_folder(spark, "stream"), scratch_folder(spark, "told")
-    for part in range(3):
-        rows.filter(F.pmod(F.xxhash64("o_custkey", "local_date", "hit"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(place)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(place)
-    ratios = trailing_ratio_stream(stream, key="o_custkey", date="local_date", num="hit", den="at_bat", out="ratio")
+    rows = durable(rows.withColumn("_part", F.pmod(F.xxhash64("o_custkey", "local_date", "hit"), F.lit(3))), "lines")
+    place, told, state = (scratch_folder(spark, name) for name in ("stream", "told", "state"))
     # A batch that is run again after a failure writes the same rows to the same place.
     write = lambda batch, number: batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{told}/batch={number}")
-    running = ratios.writeStream.outputMode("update").option("checkpointLocation", scratch_folder(spark, "state")).trigger(availableNow=True).foreachBatch(write).start()
-    running.awaitTermination()
+    for part in range(3):
+        arrived = rows.filter(F.col("_part") == part).drop("_part")
+        arrived.write.mode("append").parquet(place)
+        # What has arrived since the last run is one batch, of as many files as tasks wrote it.
+        stream = spark.readStream.schema(arrived.schema).parquet(place)
+        ratios = trailing_ratio_stream(stream, key="o_custkey", date="local_date", num="hit", den="at_bat", out="ratio")
+        ratios.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     last = F.max(F.struct("_batch", "hit", "at_bat", "ratio")).alias("last")
     return spark.read.parquet(told).groupBy("o_custkey", "day").agg(last).select("o_custkey", "day", "last.hit", "last.at_bat", "last.ratio")
 
