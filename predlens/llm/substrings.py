@@ -32,6 +32,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 STRETCH = 48  # bytes without white space after which text counts as unspaced
 PER_WORD = 3  # unspaced characters that count as a word
 FACTOR = 0x9E3779B97F4A7C15  # any odd number: the place of a chunk in its span
+POWERS = tuple(np.cumprod(np.full(2048, base, np.uint64)) for base in (FACTOR, pow(FACTOR, -1, 2**64)))  # of most texts
 NO_ID = 2**63 - 1  # rows without an id come last
 
 
@@ -64,12 +65,18 @@ def rolling_hash(data: np.ndarray, gear: np.ndarray) -> np.ndarray:
 
 def unspaced(space: np.ndarray) -> np.ndarray:
     """Which bytes follow on ``STRETCH`` bytes without white space and are none."""
-    met = np.concatenate([[0], np.cumsum(space)])
     found = np.zeros(len(space), bool)
-    found[STRETCH:] = met[STRETCH + 1 :] == met[: -STRETCH - 1]
+    edges = np.concatenate([[-1], np.flatnonzero(space), [len(space)]])
+    for run in np.flatnonzero(np.diff(edges) > STRETCH + 1).tolist():  # few: most texts have none
+        found[edges[run] + 1 + STRETCH : edges[run + 1]] = True
     return found
 
 
+def least_hash(bits: int) -> int:
+    """The hash below which one in ``2**bits`` places lies."""
+    return 1 << (16 - bits)
+
+
 def chunk_ends(data: np.ndarray, chunking: Chunking, gear: np.ndarray) -> np.ndarray:
     """Where the chunks of a text end, in bytes; the last one at the end of the text."""
     if not len(data):
@@ -78,8 +85,10 @@ def chunk_ends(data: np.ndarray, chunking: Chunking, gear: np.ndarray) -> np.nda
     space = SPACE[data]
     starts = np.ones(len(data), bool)  # a character ends where the next byte does not continue it
     starts[:-1] = (data[1:] & 0xC0) != 0x80
-    bits = np.where(unspaced(space), min(chunking.unspaced_bits, chunking.other_bits), chunking.other_bits)
-    cut = space & (h >> (16 - chunking.space_bits) == 0) | ~space & starts & (h >> (16 - bits) == 0)
+    cut = np.where(space, h < least_hash(chunking.space_bits), starts & (h < least_hash(chunking.other_bits)))
+    apart = unspaced(space)
+    if apart.any():
+        cut |= apart & starts & (h < least_hash(min(chunking.unspaced_bits, chunking.other_bits)))
     cut[-1] = True
     return np.flatnonzero(cut) + 1
 
@@ -89,34 +98,41 @@ def spans(data: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, n
 
     From each chunk forwards and from each chunk backwards: the spans within a passage cover all its chunks.
     """
-    words, least = word_starts(data)[np.concatenate([[0], ends])], PER_WORD * least
+    words, least = word_starts(data, np.concatenate([[0], ends])), PER_WORD * least
     behind = np.searchsorted(words, words[:-1] + least, "left")
     before = np.searchsorted(words, words[1:] - least, "right") - 1
     n, chunk = len(words), np.arange(len(ends))
     forwards, backwards = behind < n, before >= 0
-    found = np.unique(np.concatenate([chunk[forwards] * n + behind[forwards], before[backwards] * n + chunk[backwards] + 1]))
-    return found // n, found % n
+    found = np.concatenate([chunk[forwards] * n + behind[forwards], before[backwards] * n + chunk[backwards] + 1])
+    found.sort()
+    if len(found):
+        found = found[np.concatenate([[True], found[1:] != found[:-1]])]
+    return np.divmod(found, n)
 
 
 def chunk_digests(data: bytes, ends: np.ndarray, least: int = Chunking.words) -> np.ndarray:
     """A digest per span of chunks, from those of its chunks, which do not count white space at their ends."""
-    start, found, digest = 0, np.empty(len(ends), np.uint64), xxhash.xxh3_64_intdigest
-    for i, end in enumerate(ends.tolist()):
-        found[i] = digest(data[start:end].strip())
-        start = end
+    digest, places = xxhash.xxh3_64_intdigest, ends.tolist()
+    found = np.array([digest(data[start:end].strip()) for start, end in zip([0, *places], places)], np.uint64)
     first, behind = spans(np.frombuffer(data, np.uint8), ends, least)
-    power, inverse = (np.cumprod(np.full(len(ends), base, np.uint64)) for base in (FACTOR, pow(FACTOR, -1, 2**64)))
+    power, inverse = (known[: len(ends)] if len(ends) <= len(known) else np.cumprod(np.full(len(ends), known[0])) for known in POWERS)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(found * inverse, dtype=np.uint64)])
     mixed = (sums[behind] - sums[first]) * power[first]  # the same wherever the span begins
     return (mixed ^ mixed >> np.uint64(32)).view(np.int64)
 
 
-def word_starts(data: np.ndarray) -> np.ndarray:
-    """How many words start before each byte, and at the end, in shares of ``PER_WORD``; unspaced characters count one."""
+def word_starts(data: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
+    """How many words start before each of the given bytes, or of all and the end, in shares of ``PER_WORD``; unspaced characters count one."""
+    if places is None:
+        places = np.arange(len(data) + 1)
     space = SPACE[data]
     begins = ~space
     begins[1:] &= space[:-1]
-    return np.concatenate([[0], np.cumsum(PER_WORD * begins + (unspaced(space) & ((data & 0xC0) != 0x80)))])
+    found = PER_WORD * np.searchsorted(np.flatnonzero(begins), places)
+    apart = unspaced(space)
+    if apart.any():
+        found += np.searchsorted(np.flatnonzero(apart & ((data & 0xC0) != 0x80)), places)
+    return found
 
 
 def passages(data: np.ndarray, ends: np.ndarray, digests: np.ndarray, foreign: np.ndarray, least: int) -> list[tuple[int, int]]:

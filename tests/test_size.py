@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from predlens.catalogue.batting import q_rolling_stream
 from predlens.catalogue.machines import q_kernel_landmarks
+from predlens.llm import substrings
 from predlens.models import neighbours, suite
 from predlens.operators import teams
 
@@ -75,3 +76,20 @@ def test_products_find_the_same_neighbours_as_distances(spark):
     for i in range(0, 600, 5):
         off = np.sqrt(np.square(points - points[i]).sum(axis=1))
         assert [got[i, place] for place in (1, 2, 3)] == np.lexsort((np.arange(600), off))[:3].tolist()
+
+
+def test_word_starts_are_counted_at_places_only():
+    text = "ab  cd " + "x" * 120 + " ef"
+    data = np.frombuffer(text.encode(), np.uint8)
+    places = np.array([0, 2, 4, 5, 60, 100, len(data)])
+    assert substrings.word_starts(data, places).tolist() == substrings.word_starts(data)[places].tolist()
+
+
+def test_long_texts_have_the_digests_of_short_ones():
+    words = " ".join(f"w{i % 997}" for i in range(40000))
+    data, chunking = words.encode(), substrings.Chunking()
+    ends = substrings.chunk_ends(np.frombuffer(data, np.uint8), chunking, chunking.gear())
+    assert len(ends) > len(substrings.POWERS[0])
+    found = substrings.chunk_digests(data, ends)
+    short = substrings.chunk_digests(data[: ends[999]], ends[:1000])
+    assert np.isin(short[:900], found).all()
