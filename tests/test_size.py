@@ -1,5 +1,7 @@
 """What keeps tasks and the driver small on large tables; each on rows that are small themselves."""
 
+import re
+
 import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from predlens.catalogue.batting import q_rolling_stream
 from predlens.catalogue.machines import q_kernel_landmarks
 from predlens.llm import substrings
 from predlens.models import neighbours, suite
-from predlens.operators import teams
+from predlens.operators import effects, regression, teams
 
 
 def plan_of(df):
@@ -93,3 +95,48 @@ def test_long_texts_have_the_digests_of_short_ones():
     found = substrings.chunk_digests(data, ends)
     short = substrings.chunk_digests(data[: ends[999]], ends[:1000])
     assert np.isin(short[:900], found).all()
+
+
+def test_passes_of_slope_tests_are_not_wide_aggregations(spark, monkeypatch):
+    asked = []
+    agg = type(spark.range(1)).agg
+    monkeypatch.setattr(type(spark.range(1)), "agg", lambda self, *columns: asked.append(len(columns)) or agg(self, *columns))
+    rows = spark.range(400).selectExpr("id % 7 AS a", "id * id % 11 AS b", "id % 2 AS y")
+    assert [r["status"] for r in regression.logistic_tests(rows, ["a", "b"], "y").collect()] == ["ok", "ok"]
+    assert asked == [13]  # ranges and means; not one more for each step
+
+
+def test_slope_tests_leave_out_missing_values_of_their_own_predictor(spark):
+    rows = spark.range(400).selectExpr("IF(id % 5 = 0, NULL, id * 37 % 19) AS a", "id * id % 11 AS b", "IF(id % 9 = 0, NULL, id % 2) AS y")
+    together = {r["predictor"]: r["t_value"] for r in regression.logistic_tests(rows, ["a", "b"], "y").collect()}
+    for name, t in together.items():
+        alone = regression.logistic_tests(rows.select(name, "y").na.drop(), [name], "y").first()
+        assert alone["status"] == "ok" and abs(alone["t_value"] - t) < 2e-6
+
+
+def test_bins_of_many_predictors_are_compiled(spark, capsys):
+    names = [f"x{i}" for i in range(24)]
+    rows = spark.range(100).select(F.col("id").cast("double").alias("y"), *[(F.col("id") * (i + 1)).cast("double").alias(n) for i, n in enumerate(names)])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        effects.Effects.of(rows, "y", names, [], pairs=False).cells.explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000  # the JVM leaves longer methods uncompiled
+
+
+def test_bins_of_single_predictors_are_those_of_pairs(spark):
+    rows = spark.range(500).selectExpr("IF(id % 7 = 0, NULL, id / 10) AS a", "CAST(id % 3 AS INT) AS b", "1.5D AS same", "CAST(NULL AS DOUBLE) AS none", "id % 2 AS y")
+    names = ["a", "b", "same", "none"]
+    single, both = (effects.Effects.of(rows, "y", names, [], pairs=pairs).cells.filter("p2 = ''") for pairs in (False, True))
+    assert sorted(map(tuple, single.collect())) == sorted(map(tuple, both.collect()))
+
+
+def test_a_forest_reads_rows_that_are_dealt_once(spark, monkeypatch):
+    kept = []
+    fit = RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, rows: kept.append(rows.storageLevel.useDisk) or fit(self, rows))
+    rows = spark.range(100).select(F.col("id").alias("a"), (F.col("id") % 2).alias("y"))
+    suite.forest_importance(rows, ["a"], "y", classify=True)
+    assert kept == [True]
